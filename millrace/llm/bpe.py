@@ -57,7 +57,7 @@ class PieceEncoder:
     ``cache_entries`` bounds the memo: past it, the memo starts anew.
     """
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

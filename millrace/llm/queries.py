@@ -16,6 +16,48 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.secret_scan import find_secrets
+
+    return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
+#: One scan for each kind: what lies between the matches gives their places.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+rules(kind, place, least) AS (VALUES ('assign', 1, 12), ('access', 2, 18), ('hex', 3, 16)
+), m AS (
+  SELECT doc_id, kind, place, least,
+    CASE place
+      WHEN 1 THEN regexp_extract_all(text, '{assign}', 0) WHEN 2 THEN regexp_extract_all(text, '{access}', 0) ELSE regexp_extract_all(text, '{hex}', 0) END AS whole,
+    CASE place
+      WHEN 1 THEN regexp_extract_all(text, '{assign}', 2) WHEN 2 THEN regexp_extract_all(text, '{access}', 0) ELSE regexp_extract_all(text, '{hex}', 0) END AS part,
+    CASE place
+      WHEN 1 THEN regexp_split_to_array(text, '{assign}') WHEN 2 THEN regexp_split_to_array(text, '{access}') ELSE regexp_split_to_array(text, '{hex}') END AS gaps
+  FROM d CROSS JOIN rules
+), u AS (
+  SELECT doc_id, kind, place, least, unnest(whole) AS w, unnest(part) AS v, unnest(gaps[1:len(whole)]) AS g, unnest(range(1, len(whole) + 1)) AS i
+  FROM m WHERE len(whole) > 0
+), s AS (
+  SELECT doc_id, kind, place, least, len(v) AS size,
+    CAST(sum(len(g) + len(w)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop, len(w) AS width
+  FROM u
+), k AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || (stop - width) || ':' || stop, ',' ORDER BY stop - width, place) AS spans
+  FROM s WHERE size >= least GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+_ASSIGN = (
+    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+OP2_SQL = OP2_SQL.replace("{assign}", _ASSIGN).replace("{access}", "AKIA[A-Z0-9]+").replace("{hex}", "[0-9a-f]+")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.exact_dedup import exact_groups
 
@@ -40,6 +82,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.url_filter import judge_urls
+
+    return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.language import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.neighbours import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack
 
@@ -88,6 +148,6 @@ FROM p
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_file, op3_exact_dedup, op4_token_counts, op9_packing, op10_mixing)
+    f.__name__: f for f in (op1_token_file, op2_secret_scan, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_language_id, op7_neighbours, op9_packing, op10_mixing)
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL}
