@@ -100,6 +100,12 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near_dedup import near_classes
+
+    return near_classes(read_table(spark, sf_dir, "documents"), words=5, similarity=0.8)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack
 
@@ -148,6 +154,6 @@ FROM p
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_file, op2_secret_scan, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_language_id, op7_neighbours, op9_packing, op10_mixing)
+    f.__name__: f for f in (op1_token_file, op2_secret_scan, op3_exact_dedup, op4_token_counts, op5_url_filter, op6_language_id, op7_neighbours, op8_near_dedup, op9_packing, op10_mixing)
 }
 ORACLES: dict[str, str] = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL}
