@@ -44,25 +44,26 @@ def _byte_letters() -> dict[int, str]:
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
-def encoder(path: str) -> "PieceEncoder":
+def encoder(path: str, memo_entries: int = 200_000) -> "PieceEncoder":
     """The worker's encoder of this vocabulary file, loaded once."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].memo_entries = memo_entries
     return _encoders[path]
 
 
 class PieceEncoder:
     """Encodes texts through the tokenizers library, memoising pre-tokens.
 
-    ``cache_entries`` bounds the memo: past it, the memo starts anew.
+    ``memo_entries`` bounds the memo: past it, the memo starts anew.
     """
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, memo_entries: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_entries = cache_entries
+        self.memo_entries = memo_entries
         self.known: dict[str, bytes] = {}
         model = json.loads(self.tokenizer.to_str())
         cut = model["pre_tokenizer"] or {}
@@ -106,7 +107,7 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, exactly as the library gives them for the whole."""
-        if len(self.known) > self.cache_entries:
+        if len(self.known) > self.memo_entries:
             self.known.clear()
         known = self.known
         split: list[list[str] | None] = [

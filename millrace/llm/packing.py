@@ -124,7 +124,8 @@ def pack(
     end_id: int | None = 1,
     slack: int = 16,
     pool_ids: int = 1 << 21,
-    batch_bytes: int = 1 << 20,
+    batch_bytes: int = 2 << 20,
+    memo_entries: int = 200_000,
 ) -> DataFrame:
     """Pieces of every row's ids in sequences of at most ``size``.
 
@@ -144,7 +145,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from millrace.llm.bpe import encoder
 
-        coder = encoder(model_path)
+        coder = encoder(model_path, memo_entries)
         tail = [] if end_id is None else [end_id]
         names: list[int | None] = []
         pool: list[np.ndarray] = []

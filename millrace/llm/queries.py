@@ -109,7 +109,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack
 
-    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1, memo_entries=1_000_000)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

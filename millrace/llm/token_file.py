@@ -138,7 +138,8 @@ def write_shards(
     id: str = "doc_id",
     text: str | Column = "text",
     end_id: int | None = 0,
-    batch_bytes: int = 1 << 20,
+    batch_bytes: int = 2 << 20,
+    memo_entries: int = 1_000_000,
 ) -> list[tuple[str, int, int]]:
     """Encode ``df`` into shards below ``folder``; (path, documents, ids) of each, in order.
 
@@ -156,7 +157,7 @@ def write_shards(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from millrace.llm.bpe import encoder
 
-        coder = encoder(model_path)
+        coder = encoder(model_path, memo_entries)
         id_bytes = 2 if max(coder.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         context = TaskContext.get()
         name = f"{folder}/shard-{context.partitionId():06d}.tok"
@@ -206,9 +207,9 @@ def read_shards(spark, shards: list[tuple[str, int, int]], group_ids: int = 1 <<
 
 def _digests(shard: ShardReader, first: int, group_ids: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
-    held, begin = np.empty(0, "<u4"), 0
+    held, begin, b = np.empty(0, "<u4"), 0, 0
     for i in range(shard.n):
-        a, b = shard.ends.bounds(i)
+        a, b = b, shard.ends.select(i)
         if b > begin + len(held):
             # read on from this document, as far as the last that still fits
             held, begin = shard.ids(a, min(shard.total, max(b, a + group_ids))).astype("<u4"), a
