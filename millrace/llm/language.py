@@ -150,7 +150,7 @@ def _pieces(word: str) -> list[bytes]:
 class WordLabels:
     """Sums of probabilities by distinct word; the memo starts anew when full."""
 
-    def __init__(self, model: ByteGru, entries: int = 300_000, batch: int = 4096):
+    def __init__(self, model: ByteGru, entries: int = 150_000, batch: int = 4096):
         self.model, self.entries, self.batch = model, entries, batch
         self.place: dict[str, int] = {}
         self.sums = np.zeros((0, len(model.languages) + 1), np.float32)
@@ -237,7 +237,7 @@ def train(
     return ByteGru(languages, hidden).fit(words, np.array([place[n] for n in names]), epochs)
 
 
-def predict(df: DataFrame, model: ByteGru | None, text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def predict(df: DataFrame, model: ByteGru | None, text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` added (they replace such columns).
 
     ``und`` with score 0 if the text is null or has no letter.

@@ -24,6 +24,8 @@ from millrace.llm.common import byte_slices, settle
 from millrace.llm.components import components
 from millrace.llm.darts import mix, signatures
 
+#: Documents whose darts are thrown at once.
+_TOGETHER = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,17 +83,23 @@ def sketch(rows: DataFrame, words: int, bands: int, band_rows: int, weighted: bo
         known = _WordHashes()
         for batch in batches:
             for part in byte_slices(batch, "text", batch_bytes):
-                if len(known) > 500_000:
+                if len(known) > 250_000:
                     known.clear()
                 hashes, counts, owners = shingle_sets(part.column("text").to_pylist(), words, known)
                 n = part.num_rows
-                names = signatures(hashes, counts.astype(float) if weighted else np.ones(len(hashes)), owners, n, k)
+                weights = counts.astype(float) if weighted else np.ones(len(hashes))
+                cuts = np.searchsorted(owners, np.arange(n + 1))
+                names = np.empty((n, k), np.uint64)
+                for i in range(0, n, _TOGETHER):
+                    # short texts need as many darts as long ones
+                    j = min(n, i + _TOGETHER)
+                    own = slice(cuts[i], cuts[j])
+                    names[i:j] = signatures(hashes[own], weights[own], owners[own] - i, j - i, k)
                 with np.errstate(over="ignore"):
                     keys = np.zeros((n, bands), np.uint64) + mix(np.arange(1, bands + 1, dtype=np.uint64) * _BASE)
                     for i in range(band_rows):
                         keys = mix(keys * _BASE + names.reshape(n, bands, band_rows)[:, :, i])
                 short = (mix(names) >> np.uint64(48)).astype("<u2")
-                cuts = np.searchsorted(owners, np.arange(n + 1))
                 sets = [hashes[a:b] for a, b in zip(cuts, cuts[1:])]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -307,7 +315,8 @@ def near_classes(
     named = drawn.select("doc_id", "set_hash").join(first, "set_hash", "left")
     named = named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     out = _parts(named, classes)
-    total = out.where("part is not null").groupBy("part").agg(F.count("*").alias("class_size"))
+    # settled, so that the join below can split the rows of a large class
+    total = settle(out.where("part is not null").groupBy("part").agg(F.count("*").alias("class_size")), "class-sizes")
     return out.join(total, "part", "left").select("doc_id", F.col("part").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
