@@ -36,9 +36,9 @@ class Node:
 @dataclass(frozen=True)
 class Settings:
     trees: int = 100
-    depth: int = 5
-    rate: float = 0.1
-    min_leaf: int = 20
+    depth: int = 3
+    rate: float = 0.05
+    min_leaf: int = 200
     l2: float = 1.0
     min_gain: float = 0.0
     max_features: int | None = None
