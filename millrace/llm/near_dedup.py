@@ -271,7 +271,7 @@ def near_classes(
     known = drawn.where("doc_id is not null and set_hash is not null")
 
     # one representative for equal sets
-    first = known.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
+    first = settle(known.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "first")
     reps = known.join(first, (known["doc_id"] == first["node"]) & (known["set_hash"] == first["set_hash"]))
     reps = settle(reps.select("node", "signature", "buckets").dropDuplicates(["node"]), "representatives")
     entries = reps.select("node", F.explode("buckets").alias("bucket"))
