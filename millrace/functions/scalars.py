@@ -17,10 +17,12 @@ def finite_code(code: Column) -> Column:
 
 
 def missing_reason(label: Column) -> Column:
-    """``unknown``, ``refused`` or ``blank``; null for a substantive label. Unknown wins."""
+    """``unknown``, ``refused`` or ``blank``; null for a substantive label. Unknown wins, then refused."""
     text = normalise_label(label)
-    unknown = text.contains("don't know") | text.contains("not sure") | text.contains("unknown")
-    return F.when(unknown, "unknown").when(text.contains("refused"), "refused").when(text.contains("missing") | text.contains("blank") | text.contains("not asked"), "blank")
+    substantive = (text == "") | text.startswith("no missing") | text.startswith("not missing") | text.startswith("included") | text.startswith("has ")
+    unknown = text.contains("don't know") | text.contains("dont know") | text.contains("not sure")
+    blank = text.contains("not asked") | (text == "missing") | text.startswith("missing ")
+    return F.when(~substantive & unknown, "unknown").when(~substantive & text.contains("refused"), "refused").when(~substantive & blank, "blank")
 
 
 def canonical_number(value: Column) -> Column:

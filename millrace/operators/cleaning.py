@@ -37,12 +37,12 @@ def retained(columns: list[str], excluded: set[str], kinds: dict[str, str], mode
     return [c for c in columns if c not in excluded and kinds.get(c, "continuous") in modelled]
 
 
-def binary_mapping(labels: dict[float, str], observed: list[float]) -> dict[float, float] | None:
-    """Yes/no labels to 1/0; else two observed values in order, one to 0; else none."""
+def binary_mapping(labels: dict[float, str], observed: list[float]) -> dict[float, float]:
+    """Two observed values: yes and no by their labels, else in order; one: 0; more: none."""
     named = {c: {"yes": 1.0, "no": 0.0}.get(t.strip().lower()) for c, t in labels.items()}
-    if set(observed) <= {c for c, v in named.items() if v is not None}:
-        return {c: v for c, v in named.items() if v is not None}
-    return {v: float(i) for i, v in enumerate(sorted(observed))} if len(observed) <= 2 else None
+    if len(observed) == 2 and all(named.get(v) is not None for v in observed):
+        return {v: named[v] for v in observed}
+    return {v: float(i) for i, v in enumerate(sorted(observed))} if len(observed) <= 2 else {}
 
 
 def mapped(column: Column, mapping: dict[float, float]) -> Column:
@@ -94,22 +94,25 @@ def categories(df: DataFrame, column: str) -> list:
     return df.agg(F.array_sort(F.collect_set(column)).alias("v")).first()["v"]
 
 
-def one_hot(column: str, values: list, mode: str) -> dict[str, Column]:
+def one_hot(column: str, values: list, mode: str, own: Column | None = None) -> dict[str, Column]:
     """Indicators of a category, by three rules.
 
     ``linear``: without the lowest value, with ``__missing``; unseen is all 0.
     ``tree``: every value and ``__unknown``, null where the value is null.
     ``mlp``: every value, ``__missing`` and ``__unseen``.
+
+    A number gives ``__is_<number>``, text ``__<text>``.
     """
-    own = F.col(column)
+    own = F.col(column) if own is None else own
+    named = lambda v: f"{column}__{v}" if isinstance(v, str) else f"{column}__is_{v:g}"
     hit = lambda v: F.coalesce((own == v), F.lit(False)).cast("int")
     unseen = own.isNotNull() & ~own.isin(list(values))
     if mode == "linear":
-        return {f"{column}__{v}": hit(v) for v in values[1:]} | {f"{column}__missing": own.isNull().cast("int")}
+        return {named(v): hit(v) for v in values[1:]} | {f"{column}__missing": own.isNull().cast("int")}
     if mode == "tree":
-        found = {f"{column}__{v}": (own == v).cast("int") for v in values}
+        found = {named(v): (own == v).cast("int") for v in values}
         return found | {f"{column}__unknown": F.when(own.isNotNull(), unseen.cast("int"))}
-    return {f"{column}__{v}": hit(v) for v in values} | {f"{column}__missing": own.isNull().cast("int"), f"{column}__unseen": unseen.cast("int")}
+    return {named(v): hit(v) for v in values} | {f"{column}__missing": own.isNull().cast("int"), f"{column}__unseen": F.coalesce(unseen, F.lit(False)).cast("int")}
 
 
 def hinge(column: Column, fill: float, knot: float) -> Column:
@@ -131,17 +134,26 @@ def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[str, Colum
     return {n: (x - row[f"avg_{n}"]) / (row[f"stddev_pop_{n}"] or 1.0) for n, x in terms.items()}
 
 
-def daily_rate(code: Column) -> Column:
-    """Frequency codes: 101-199 a day, 201-299 a week, 301-399 a month, 300 less, 555 never."""
-    return (
-        F.when(code.isNull(), None)
-        .when(code == 555, 0.0)
-        .when(code == 300, 0.0)
-        .when(code.between(101, 199), code - 100.0)
-        .when(code.between(201, 299), (code - 200.0) / 7.0)
-        .when(code.between(301, 399), (code - 300.0) / 30.0)
-        .otherwise(F.raise_error(F.concat(F.lit("unexpected frequency code "), code.cast("string"))).cast("double"))
-    )
+#: Frequency codes by kind: per day, week and month from these hundreds, and what means never.
+FREQUENCIES = {"food": ({"per_day": 100, "per_week": 200, "per_month": 300}, (0.0, 555.0)), "week_month": ({"per_week": 100, "per_month": 200}, (0.0,))}
+_DAYS = {"per_day": 1.0, "per_week": 7.0, "per_month": 30.0}
+
+
+def daily_rate(code: Column, kind: str = "food") -> Column:
+    """Frequency codes as a daily rate; 300 (less than monthly) is 0, other codes are an error."""
+    units, never = FREQUENCIES[kind]
+    rate = F.when(code.isNull(), None).when(code.isin(*never, *([300.0] if kind == "food" else [])), 0.0)
+    for unit, base in units.items():
+        rate = rate.when(code.between(base + 1, base + 99), (code - float(base)) / _DAYS[unit])
+    return rate.otherwise(F.raise_error(F.concat(F.lit("unexpected frequency code "), code.cast("string"))).cast("double"))
+
+
+def frequency_flags(code: Column, kind: str = "food") -> dict[str, Column]:
+    """The unit of a code, and ``less_than_monthly``; 0 where the code is null."""
+    flags = {unit: code.between(base + 1, base + 99) for unit, base in FREQUENCIES[kind][0].items()}
+    if kind == "food":
+        flags["less_than_monthly"] = code == 300
+    return {name: F.coalesce(flag, F.lit(False)).cast("int") for name, flag in flags.items()}
 
 
 def group_counts(columns: list[str], yes: float = 1, no: float = 2) -> tuple[Column, Column]:

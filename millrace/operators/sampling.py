@@ -22,7 +22,7 @@ def class_ranks(df: DataFrame, label: str, key: str, seed: int | str, order: lis
     before = sizes.select(F.col(label).alias("__other"), F.col("class_size").alias("__n"))
     ahead = sizes.join(before, F.col("__other") < F.col(label), "left").groupBy(label, "class_size").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__ahead"))
     joined = ranked.join(F.broadcast(ahead), label)  # a row for each class
-    return joined.withColumn("place", F.col("__place") - F.col("__ahead")).drop("__place", "__ahead", "__one", "__order")
+    return joined.select(*df.columns, "class_size", (F.col("__place") - F.col("__ahead")).alias("place"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: int | str) -> DataFrame:
