@@ -63,7 +63,7 @@ def best_f1_threshold(df: DataFrame, truth: Column, score: Column) -> DataFrame:
     """
     total, positives = df.agg(F.count("*"), F.coalesce(F.sum(truth), F.lit(0))).first()
     steps = tied_counts(df, truth, score).select(F.col("threshold").cast("double"), F.lit(False).alias("none_positive"), "tp", "predicted")
-    nobody = df.sparkSession.createDataFrame([(None, True, 0, 0)], steps.schema)
+    nobody = df.sparkSession.createDataFrame([(None, True, 0, 0)], "threshold double, none_positive boolean, tp long, predicted long")
     tp, fp = F.col("tp"), F.col("predicted") - F.col("tp")
     f1 = F.coalesce(F.try_divide(2 * tp, tp + fp + F.lit(positives)), F.lit(0.0))
     accuracy = F.try_divide(tp + (F.lit(total - positives) - fp), F.lit(total))

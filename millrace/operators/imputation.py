@@ -74,11 +74,15 @@ def fit_anchor_bins(df: DataFrame, columns: dict[str, Column], most: int) -> dic
     for n, x in columns.items():
         marks = F.array(*[F.lit(float(v)) for v in row[n]]) if row[n] else F.lit(None).cast("array<double>")
         exact = F.array_position(marks, x.cast("double"))
-        above = F.size(F.filter(marks, lambda e, x=x: e < x)) + 1
-        out[n] = F.coalesce((exact if counts[n] <= most else F.when(x.isNotNull(), above)).cast("int"), F.lit(0))
+        place = exact if counts[n] <= most else F.when(x.isNotNull(), _below(marks, x) + 1)
+        out[n] = F.coalesce(place.cast("int"), F.lit(0))
     return out
 
 
+def _below(marks: Column, x: Column) -> Column:
+    return F.size(F.filter(marks, lambda e: e < x))
+
+
 def naive_bayes(df: DataFrame, value: Column, bins: dict[str, Column], widths: dict[str, int], smoothing: float) -> Column:
     """The likeliest class, ties to the least; counts of (anchor, bin, class) come to the driver."""
     cells = df.select(value.alias("y"), F.explode(F.array(*[F.struct(F.lit(j).alias("j"), b.alias("b")) for j, b in enumerate([F.lit(0), *bins.values()])])).alias("a"))

@@ -120,3 +120,38 @@ def duplicate_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def cardinality_band(n: Column) -> Column:
     return F.when(n <= 2, "1-2").when(n <= 5, "3-5").when(n <= 10, "6-10").when(n <= 50, "11-50").when(n <= 256, "51-256").otherwise(">256")
+
+
+def missing_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows, cells, missing, rows_with_missing, most_in_a_row``, one scan."""
+    lost = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    return df.agg(F.count("*").alias("rows"), (F.count("*") * len(columns)).alias("cells"), F.sum(lost).alias("missing"), F.count(F.when(lost > 0, 1)).alias("rows_with_missing"), F.max(lost).alias("most_in_a_row"))
+
+
+def duplicate_summary(train: DataFrame, test: DataFrame, columns: list[str], label: Column) -> DataFrame:
+    """Groups of equal training rows, how many conflict in their label, and training rows found in the test rows."""
+    groups = duplicate_rows(train, columns, label)
+    conflict = F.count(F.when(F.col("labels") == 3, 1))
+    counts = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"), conflict.alias("conflicting_groups"))
+    shared = row_overlap(train, test, columns).agg(F.count("*").alias("rows_in_test"))
+    return counts.crossJoin(shared)  # one row each
+
+
+def largest_groups(groups: DataFrame, most: int = 20) -> DataFrame:
+    return groups.orderBy(F.desc("n"), "digest").limit(most)
+
+
+def category_order(values: DataFrame, value: str = "value") -> DataFrame:
+    """Numbers ascending, then text, missing last; adds ``place``. A row for each value."""
+    number = F.col(value).try_cast("double")
+    listed = values.agg(F.array_sort(F.collect_list(F.struct((F.col(value) == "<MISSING>").alias("m"), number.isNull().alias("t"), number.alias("n"), F.struct(*values.columns).alias("row")))).alias("all"))
+    return listed.select(F.posexplode("all")).select((F.col("pos") + 1).alias("place"), "col.row.*")
+
+
+def top_values(left: DataFrame, right: DataFrame, most: int = 10) -> DataFrame:
+    """The commonest values of two counted samples (``value, n``) with their shares."""
+    both = left.select("value", F.col("n").alias("a")).join(right.select("value", F.col("n").alias("b")), "value", "full_outer")
+    both = both.select("value", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    totals = both.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    shares = both.join(F.broadcast(totals)).select("value", F.try_divide("a", "ta").alias("left_share"), F.try_divide("b", "tb").alias("right_share"), (F.col("a") + F.col("b")).alias("n"))  # totals: one row
+    return shares.orderBy(F.desc("n"), "value").limit(most)

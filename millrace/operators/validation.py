@@ -64,17 +64,18 @@ def nested_evaluation(df: DataFrame, label: str, key: str, fit: Fitter, outer: i
     pooled metrics by stage with log loss and average precision. ``outer *
     (inner + 1)`` models are fitted, one after the other in the driver.
     """
-    folds = stratified_folds(df, label, key, outer, seed)
+    folds = stratified_folds(df, label, key, outer, seed).persist()
     y, p, chosen, scored = F.col(label), F.col("p"), [], None
     for k in range(outer):
         train = folds.where(F.col("fold") != k).drop("fold")
         held = folds.where(F.col("fold") == k).drop("fold")
-        inside = stratified_folds(train, label, key, inner, seed + k + 1)
+        inside = stratified_folds(train, label, key, inner, seed + k + 1).persist()
         guesses = out_of_fold(inside, key, "fold", inner, fit).join(train.select(key, label), key).persist()
         for stage in sorted(r[0] for r in guesses.select("stage").distinct().collect()):
             best = evaluation.best_f1_threshold(guesses.where(F.col("stage") == stage), y, p).first()
             chosen.append((k, stage, best["threshold"]))
         guesses.unpersist()
+        inside.unpersist()
         part = fit(train)(held).select(key, F.lit(k).alias("fold"), "stage", "p").join(held.select(key, label), key)
         scored = part if scored is None else scored.unionByName(part)
     thresholds = df.sparkSession.createDataFrame(chosen, "fold int, stage int, threshold double")

@@ -115,3 +115,56 @@ def publish_runs(runs: DataFrame, folder: str) -> None:
     spark = runs.sparkSession
     held = spark.read.parquet(folder).select("run_id")
     runs.join(held, "run_id", "left_anti").write.mode("append").parquet(folder)
+
+
+def read_sample_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``position, Id`` of a sample file ``Id,Prediction``, in the order of the file."""
+    if spark.read.csv(path, header=True).columns != ["Id", "Prediction"]:
+        raise ValueError("the header must be Id,Prediction")
+    df = spark.read.schema("Id long, Prediction int").options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
+    require_unique(df, "Id")
+    return df.select(F.monotonically_increasing_id().alias("position"), "Id")
+
+
+def prepare(spark: SparkSession, folder: str, cache: str, label: str) -> dict[str, DataFrame]:
+    """Checked and cached copies of the training, test, label and sample files of a folder."""
+    train, test = (read_features(spark, f"{folder}/{n}.csv") for n in ("x_train", "x_test"))
+    if train.columns != test.columns:
+        raise ValueError("training and test columns differ")
+    labels, sample = read_labels(spark, f"{folder}/y_train.csv", label), read_sample_ids(spark, f"{folder}/sample_submission.csv")
+    aligned(train.select("Id"), labels, "Id")
+    aligned(test.select("Id"), sample, "Id")
+    found = {"x_train": train, "x_test": test, "y_train": labels, "sample": sample}
+    return {name: cached(df, f"{cache}/{name}") for name, df in found.items()}
+
+
+def write_report_csv(df: DataFrame, path: str, fields: list[str]) -> None:
+    """A result of bounded size with its columns in a fixed order, as one CSV file."""
+    df.select(*fields).coalesce(1).write.csv(path, header=True)
+
+
+def save_out_of_fold(scores: DataFrame, rows: DataFrame, key: str, path: str) -> DataFrame:
+    """Out-of-fold scores as a table, once they cover every row exactly once a stage."""
+    from millrace.operators.validation import oof_faults
+
+    if not oof_faults(scores, rows, key).isEmpty():
+        raise ValueError("scores must cover every row once and lie in [0, 1]")
+    scores.write.parquet(path)
+    return scores.sparkSession.read.schema(scores.schema).parquet(path)
+
+
+def deliver(spark: SparkSession, found: dict[str, str], folder: str, expected: DataFrame) -> DataFrame:
+    """Verified copies of prediction files, with a manifest of their counts and checksums."""
+    lines = []
+    for name, path in sorted(found.items()):
+        df = spark.read.schema("Id long, Prediction int").csv(path, header=True)
+        aligned(df, expected.select("Id"), "Id")
+        ordered = df.join(expected.select("position", "Id"), "Id")
+        write_predictions(ordered, f"{folder}/{name}")
+        copy = spark.read.schema("Id long, Prediction int").csv(f"{folder}/{name}", header=True)
+        if fingerprint(copy) != fingerprint(df):
+            raise ValueError(f"the copy of {name} differs")
+        lines.append((name, copy.where("Prediction = 1").count(), json.dumps(fingerprint(copy), sort_keys=True)))
+    manifest = spark.createDataFrame(lines, "name string, positives long, fingerprint string")
+    manifest.coalesce(1).write.json(f"{folder}/manifest")
+    return manifest

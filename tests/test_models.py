@@ -112,6 +112,16 @@ def test_naive_bayes_against_brute_force(spark):
         assert r["p"] == max(sorted(score), key=score.get)
 
 
+def test_anchor_bins(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(100)] + [(None,)], "x double")
+    edges = np.unique(np.quantile(np.arange(100), np.linspace(0, 1, 5)[1:-1]))
+    bins = imputation.fit_anchor_bins(df, {"x": F.col("x")}, 4)["x"]
+    for x, b in df.select("x", bins).collect():
+        assert b == (0 if x is None else np.searchsorted(edges, x) + 1)
+    few = imputation.fit_anchor_bins(df.where("x < 3"), {"x": F.col("x")}, 4)["x"]
+    assert [r[0] for r in df.select(few).limit(4).collect()] == [1, 2, 3, 0]
+
+
 def test_thinning_takes_even_steps(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     want = np.linspace(0, 99, 7, dtype=np.int64).tolist()
