@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.quantiles import quantiles
 from millrace.functions.scalars import sigmoid
 
 MISSING = 255
@@ -96,8 +97,7 @@ def fit_edges(df: DataFrame, columns: list[str], settings: Settings) -> tuple[li
         raise ValueError(f"more than {settings.bins} values: {too_many}")
     rest = [c for c in columns if c not in exact and c not in sets]
     aggs = [F.array_sort(F.collect_set(c)).alias(c) for c in [*exact, *sets]]
-    aggs += [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(q)) for q in inner])).alias(c) for c in rest]
-    row = df.agg(*aggs).first()
+    row = (df.agg(*aggs).first().asDict() if aggs else {}) | quantiles(df, {c: F.col(c) for c in rest}, [float(q) for q in inner])
     edges = [np.unique(np.array((row[c] or [])[1 if c in exact else 0 :], dtype=np.float32)) for c in columns]
     return edges, np.array([c in exact for c in columns])
 

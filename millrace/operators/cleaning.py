@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.quantiles import medians, quantiles
+
 
 @dataclass(frozen=True)
 class Codes:
@@ -67,9 +69,10 @@ class Filled:
 def fit_fills(df: DataFrame, rules: dict[str, str]) -> list[Filled]:
     """Fill by ``median`` or ``mode`` (ties to the lowest), then moments of the filled column.
 
-    Two aggregations over all columns together; a row comes back for each.
+    A few aggregations over all columns together; a row comes back for each.
     """
-    fills = df.agg(*[(F.median(c) if rule == "median" else F.mode(F.col(c), True)).cast("double").alias(c) for c, rule in rules.items()]).first()
+    coded = [F.mode(F.col(c), True).cast("double").alias(c) for c, rule in rules.items() if rule != "median"]
+    fills = (df.agg(*coded).first().asDict() if coded else {}) | medians(df, {c: F.col(c) for c, rule in rules.items() if rule == "median"})
     value = {c: float(fills[c]) if fills[c] is not None else 0.0 for c in rules}
     filled = {c: F.coalesce(F.col(c), F.lit(value[c])) for c in rules}
     row = df.agg(
@@ -119,10 +122,10 @@ def hinge(column: Column, fill: float, knot: float) -> Column:
     return F.greatest(F.coalesce(column, F.lit(fill)) - knot, F.lit(0.0))
 
 
-def hinge_terms(df: DataFrame, column: str, quantiles: list[float]) -> dict[str, Column]:
+def hinge_terms(df: DataFrame, column: str, shares: list[float]) -> dict[str, Column]:
     """Standardised hinges at training quantiles, ``<column>__hinge_q<q>``."""
-    fill, knots = df.agg(F.median(column), F.percentile(column, F.array(*map(F.lit, quantiles)))).first()
-    terms = {f"{column}__hinge_q{q:g}": hinge(F.col(column), fill, k) for q, k in zip(quantiles, knots)}
+    fill, *knots = quantiles(df, {column: F.col(column)}, [0.5, *shares])[column]
+    terms = {f"{column}__hinge_q{q:g}": hinge(F.col(column), fill, k) for q, k in zip(shares, knots)}
     row = df.agg(*[f(x).alias(f"{f.__name__}_{n}") for n, x in terms.items() for f in (F.avg, F.stddev_pop)]).first()
     return {n: (x - row[f"avg_{n}"]) / (row[f"stddev_pop_{n}"] or 1.0) for n, x in terms.items()}
 

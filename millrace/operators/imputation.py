@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.ordered import running_totals
+from millrace.functions.quantiles import quantiles
 from millrace.functions.scalars import round_half_even
 from millrace.operators import linear
 
@@ -68,8 +69,10 @@ def response_codes(missing: dict[float, str], special: list[dict]) -> dict[str,
 def fit_anchor_bins(df: DataFrame, columns: dict[str, Column], most: int) -> dict[str, Column]:
     """Bins of each column: 0 for null or unseen; each value if few, else quantiles."""
     counts = df.agg(*[F.count_distinct(x).alias(n) for n, x in columns.items()]).first()
-    inner = F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, most + 1)[1:-1]])
-    row = df.agg(*[(F.array_sort(F.collect_set(x)) if counts[n] <= most else F.array_sort(F.array_distinct(F.percentile(x, inner)))).alias(n) for n, x in columns.items()]).first()
+    few = [F.array_sort(F.collect_set(x)).alias(n) for n, x in columns.items() if counts[n] <= most]
+    row = df.agg(*few).first().asDict() if few else {}
+    inner = [float(q) for q in np.linspace(0, 1, most + 1)[1:-1]]
+    row |= {n: sorted(set(v)) for n, v in quantiles(df, {n: x for n, x in columns.items() if counts[n] > most}, inner).items()}
     out = {}
     for n, x in columns.items():
         marks = F.array(*[F.lit(float(v)) for v in row[n]]) if row[n] else F.lit(None).cast("array<double>")
@@ -123,7 +126,7 @@ def ridge_on_bins(df: DataFrame, value: Column, bins: dict[str, Column], ridge:
     turn[0, 1:] = -means / scales
     penalty = ridge * n * np.diag([0.0] + [1.0] * len(names))
     w = turn @ np.linalg.solve(turn.T @ g @ turn + penalty, turn.T @ b)
-    low, high = df.agg(F.percentile(value, F.array(F.lit(0.001), F.lit(0.999)))).first()[0]
+    low, high = quantiles(df, {"y": value}, [0.001, 0.999])["y"]
     score = sum((x * F.lit(float(v)) for x, v in zip(bins.values(), w[1:])), F.lit(float(w[0])))
     return F.greatest(F.lit(low), F.least(F.lit(high), score))
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.quantiles import medians, quantiles
 from millrace.operators.cleaning import Codes, binary_mapping, cleaned, daily_rate, frequency_flags, hinge, mapped, one_hot, reason_flag, retained
 
 #: Types that a model can use.
@@ -124,8 +125,8 @@ def _require_usable(df: DataFrame, found: list[Source]) -> None:
 
 def _centres(df: DataFrame, found: dict[str, tuple[Column, str]]) -> dict[str, float]:
     """Fill of each column: mode (ties to the lowest) or median."""
-    row = df.agg(*[(F.mode(x, True) if rule == "mode" else F.median(x)).cast("double").alias(n) for n, (x, rule) in found.items()]).first() if found else {}
-    return {n: row[n] for n in found}
+    coded = [F.mode(x, True).cast("double").alias(n) for n, (x, rule) in found.items() if rule == "mode"]
+    return (df.agg(*coded).first().asDict() if coded else {}) | medians(df, {n: x for n, (x, rule) in found.items() if rule != "mode"})
 
 
 def _moments(df: DataFrame, found: dict[str, Column]) -> dict[str, tuple[float, float]]:
@@ -193,19 +194,18 @@ def fit_linear(df: DataFrame, columns: list[str], entries: list[dict], plan: Pla
 def _hinges(df: DataFrame, found: list[Source], plan: Plan) -> dict[str, Column]:
     """Standardised hinges at training quantiles; knots must differ and hinges vary."""
     by_name, terms = {s.name: s for s in found}, {}
-    for name, quantiles in plan.hinges.items():
+    for name, wanted in plan.hinges.items():
         if name not in by_name or by_name[name].kind != "continuous":
             raise ValueError(f"{name} is not a continuous column of the plan")
-        if sorted(set(quantiles)) != list(quantiles) or not all(0 < q < 1 for q in quantiles):
+        if sorted(set(wanted)) != list(wanted) or not all(0 < q < 1 for q in wanted):
             raise ValueError(f"quantiles of {name} must increase strictly inside (0, 1)")
     if not plan.hinges:
         return {}
-    aggs = [a for n, q in plan.hinges.items() for a in (F.median(by_name[n].clean).alias(f"{n}|fill"), F.percentile(by_name[n].clean, F.array(*map(F.lit, q))).alias(f"{n}|knots"))]
-    row = df.agg(*aggs).first()
-    for n, quantiles in plan.hinges.items():
-        if len(set(row[f"{n}|knots"])) < len(quantiles):
+    asked = {n: quantiles(df, {n: by_name[n].clean}, [0.5, *q])[n] for n, q in plan.hinges.items()}
+    for n, wanted in plan.hinges.items():
+        if len(set(asked[n][1:])) < len(wanted):
             raise ValueError(f"equal knots of {n}")
-        terms |= {f"{n}__hinge_q{q:g}": hinge(by_name[n].clean, row[f"{n}|fill"], k) for q, k in zip(quantiles, row[f"{n}|knots"])}
+        terms |= {f"{n}__hinge_q{q:g}": hinge(by_name[n].clean, asked[n][0], k) for q, k in zip(wanted, asked[n][1:])}
     spread = df.agg(*[f(x).alias(f"{n}|{f.__name__}") for n, x in terms.items() for f in (F.avg, F.stddev_pop)]).first()
     if flat := [n for n in terms if not spread[f"{n}|stddev_pop"]]:
         raise ValueError(f"constant hinges: {flat}")

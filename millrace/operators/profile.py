@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.quantiles import quantiles
 from millrace.functions.scalars import canonical_number, row_digest
 
 
@@ -74,9 +75,9 @@ def target_rates(df: DataFrame, value: Column, target: Column, least: int = 100,
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
-    """Distinct inner quantiles, interpolated; one row comes back."""
+    """Distinct inner quantiles, interpolated."""
     inner = [i / bins for i in range(1, bins)]
-    found = df.agg(F.percentile(column, F.array(*map(F.lit, inner)))).first()[0]
+    found = quantiles(df, {column: F.col(column)}, inner)[column]
     return sorted(set(found or []))
 
 

@@ -122,6 +122,20 @@ def test_anchor_bins(spark):
     assert [r[0] for r in df.select(few).limit(4).collect()] == [1, 2, 3, 0]
 
 
+def test_quantiles_both_ways(spark):
+    from millrace.functions.quantiles import quantiles
+
+    random = np.random.default_rng(4)
+    rows = [(float(a), None if i % 7 == 0 else float(b), None) for i, (a, b) in enumerate(zip(random.normal(size=301), random.integers(0, 9, 301)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    for limit in (0, 50, 10**6):
+        found = quantiles(df, {c: F.col(c) for c in df.columns}, shares, limit)
+        assert found["c"] is None
+        for j, c in enumerate("ab"):
+            np.testing.assert_allclose(found[c], np.quantile([r[j] for r in rows if r[j] is not None], shares), rtol=1e-12)
+
+
 def test_thinning_takes_even_steps(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     want = np.linspace(0, 99, 7, dtype=np.int64).tolist()
