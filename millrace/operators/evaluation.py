@@ -90,6 +90,33 @@ def cross_fit_thresholds(df: DataFrame, truth: Column, score: Column, fold: str,
     return out
 
 
+def fold_thresholds(df: DataFrame, truth: Column, score: Column, fold: str, folds: int) -> DataFrame:
+    """Per fold, its own best threshold: how stable the choice is."""
+    parts = [best_f1_threshold(df.where(F.col(fold) == k), truth, score).withColumn("fold", F.lit(k)) for k in range(folds)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("fold", "threshold", "f1", "accuracy")
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, truth: str, predicted: str) -> DataFrame:
+    """``key, truth, before, after`` of two studies; both must have the same rows and labels."""
+    a = left.select(key, F.col(truth).alias("truth"), F.col(predicted).alias("before"))
+    b = right.select(key, F.col(truth).alias("__truth"), F.col(predicted).alias("after"))
+    both = a.join(b, key, "full_outer")
+    if not both.where(~F.col("truth").eqNullSafe(F.col("__truth")) | F.col("before").isNull() | F.col("after").isNull()).isEmpty():
+        raise ValueError("the studies differ in their rows or labels")
+    return both.select(key, "truth", "before", "after")
+
+
+def compare_studies(left: DataFrame, right: DataFrame, key: str, truth: str, predicted: str, draws: int = 20_000) -> DataFrame:
+    """One row: change in F1 with its interval, and how many predictions changed in each way."""
+    both = paired(left, right, key, truth, predicted)
+    columns = (F.col("truth"), F.col("before"), F.col("after"))
+    gap, low, high = paired_bootstrap(bootstrap_cells(both, *columns), draws)
+    return transitions(both, *columns).select(F.lit(gap).alias("difference"), F.lit(low).alias("low"), F.lit(high).alias("high"), "*")
+
+
 def transitions(df: DataFrame, truth: Column, before: Column, after: Column) -> DataFrame:
     """How predictions changed: false negatives recovered, positives lost, and so on."""
     cases = {"recovered_fn": (1, 0, 1), "lost_tp": (1, 1, 0), "added_fp": (0, 0, 1), "removed_fp": (0, 1, 0)}

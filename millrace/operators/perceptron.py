@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import sampling_order
@@ -55,12 +55,12 @@ class Perceptron:
             back = (back @ self.weights[i].T) * (out[i] > 0) if i else back
         return weights + biases
 
-    def fit(self, x: np.ndarray, y: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None) -> "Perceptron":
-        """Stops early on held rows and goes back to the best weights."""
+    def fit(self, x: np.ndarray, y: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None, progress: Callable[[dict], None] | None = None) -> "Perceptron":
+        """Stops early on held rows and goes back to the best weights; ``progress`` gets the losses of each epoch."""
         self.start(x, y)
         random = np.random.default_rng(self.seed + 1)
         first, second, step, best, waited = None, None, 0, None, 0
-        for _ in range(self.epochs):
+        for epoch in range(self.epochs):
             order = random.permutation(len(x))
             for i in range(0, len(x), self.batch):
                 grads = self.gradients(x[order[i : i + self.batch]], y[order[i : i + self.batch]])
@@ -69,8 +69,10 @@ class Perceptron:
                 second = [0.999 * a + 0.001 * g * g for a, g in zip(second or [0.0] * len(grads), grads)]
                 for p, a, b in zip([*self.weights, *self.biases], first, second):
                     p -= self.rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+            now = self.loss(*held, penalty=False) if held else None
+            if progress:
+                progress({"epoch": epoch + 1, "training_loss": self.loss(x, y), "held_loss": now})
             if held:
-                now = self.loss(*held, penalty=False)
                 if best is None or now < best[0]:
                     best, waited = (now, [p.copy() for p in (*self.weights, *self.biases)]), 0
                 elif (waited := waited + 1) >= self.patience:
@@ -80,6 +82,18 @@ class Perceptron:
             self.weights, self.biases = best[1][:n], best[1][n:]
         return self
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The layers as one JSON document; nothing is overwritten."""
+        doc = {"hidden": list(self.hidden), "weights": [w.tolist() for w in self.weights], "biases": [b.tolist() for b in self.biases]}
+        spark.createDataFrame([(json.dumps(doc, allow_nan=False),)], "value string").coalesce(1).write.text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Perceptron":
+        doc = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        model = cls(tuple(doc["hidden"]))
+        model.weights, model.biases = ([np.array(v) for v in doc[k]] for k in ("weights", "biases"))
+        return model
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 0.5 * (1 + np.tanh(0.5 * self.layers(x)[-1][:, 0]))
 

@@ -38,6 +38,15 @@ def _score(x: list[str], w: np.ndarray) -> Column:
     return sum((F.col(c) * F.lit(float(v)) for c, v in zip(x, w)), F.lit(0.0))
 
 
+def named_plan(suite: dict, name: str) -> preprocessing.Plan:
+    """The plan of a suite's variant; unknown names and settings are errors."""
+    found = [v for v in suite["variants"] if v["name"] == name]
+    if len(found) != 1:
+        raise ValueError(f"the suite has {len(found)} variants named {name}")
+    settings = {k: tuple(v) if isinstance(v, list) else v for k, v in found[0].items() if k != "name"}
+    return preprocessing.Plan(**settings)
+
+
 def boosting_fitter(study: Study, settings: boosting.Settings, stages: list[int] | None = None) -> Fitter:
     """Scores after each of ``stages`` trees. Names of settings refer to output columns; a prefix ending in ``__`` stands for a block."""
 

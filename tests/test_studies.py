@@ -66,6 +66,35 @@ def test_best_threshold_of_constant_scores(spark):
     assert none["none_positive"] and none["threshold"] is None
 
 
+def test_comparing_studies(spark):
+    rows = [(i, i % 2, int(i % 2 == 1 and i % 3 > 0), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, y int, a int, b int")
+    before, after = (df.select("k", "y", F.col(c).alias("p")) for c in "ab")
+    row = evaluation.compare_studies(before, after, "k", "y", "p", 500).first()
+    assert (row["recovered_fn"], row["lost_tp"], row["added_fp"], row["removed_fp"]) == (10, 0, 0, 0)
+    assert row["difference"] == pytest.approx(0.2) and row["low"] <= 0.2 <= row["high"]
+    with pytest.raises(ValueError, match="differ"):
+        evaluation.paired(before, after.where("k > 0"), "k", "y", "p")
+    scored = df.select((F.col("k") % 3).alias("fold"), "y", (F.col("k") / 60).alias("s"))
+    own = evaluation.fold_thresholds(scored, F.col("y"), F.col("s"), "fold", 3)
+    assert [r["fold"] for r in own.orderBy("fold").collect()] == [0, 1, 2]
+
+
+def test_plans_and_network_files(spark, tmp_path):
+    from millrace.operators.perceptron import Perceptron
+
+    suite = {"variants": [{"name": "one", "exclude": ["a"]}, {"name": "two"}]}
+    assert runners.named_plan(suite, "one").exclude == ("a",)
+    with pytest.raises(ValueError, match="0 variants"):
+        runners.named_plan(suite, "three")
+    x = np.random.default_rng(1).normal(size=(40, 2))
+    y, seen = (x[:, 0] > 0).astype(float), []
+    model = Perceptron((4,), epochs=3).fit(x, y, (x, y), seen.append)
+    model.save(spark, str(tmp_path / "net"))
+    np.testing.assert_array_equal(Perceptron.load(spark, str(tmp_path / "net")).probabilities(x), model.probabilities(x))
+    assert [e["epoch"] for e in seen] == [1, 2, 3] and seen[0]["held_loss"] > 0
+
+
 def test_prepare_and_deliver(spark, tmp_path):
     files = {"x_train": "Id,A\n1,0.5\n2,\n", "x_test": "Id,A\n3,0.1\n4,0.2\n", "y_train": "Id,L\n1,1\n2,-1\n", "sample_submission": "Id,Prediction\n4,1\n3,1\n"}
     for name, text in files.items():
