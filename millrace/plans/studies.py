@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import boosting, imputation, preprocessing, profile, validation
+from millrace.operators import boosting, evaluation, imputation, preprocessing, profile, validation
 from millrace.plans import runners
-from millrace.plans.catalogue import query, rounded, table
+from millrace.plans.catalogue import query, rounded, scored_events, table
 
 COLUMNS = ["answer", "days", "yes", "measure"]
 UNSURE = [{"code": "7", "label": "Don't know/Not Sure"}, {"code": "8", "label": "Don't know/Refused/Missing"}, {"code": "9", "label": "Refused"}]
@@ -211,3 +211,22 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = survey(spark, sf_dir)
     score = runners.logistic_fitter(STUDY, [5], 1.0)(s)
     return rounded(validation.permutation_importance(s, {"measure": ["measure"], "answer": ["answer"]}, "y", "event_id", score, 0.2, [1, 2]))
+
+
+@query(
+    """WITH e AS (SELECT event_id % 3 AS fold, CAST(event_type = 'purchase' AS INTEGER) AS y, round(value / (value + 50), 3) AS p FROM events), c AS (SELECT fold, p AS t, sum(y) AS y, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT fold, t, sum(y) OVER w AS tp, sum(n) OVER w AS predicted, sum(y) OVER (PARTITION BY fold) AS positives, sum(n) OVER (PARTITION BY fold) AS total FROM c WINDOW w AS (PARTITION BY fold ORDER BY t DESC)),
+m AS (SELECT fold, t, 2 * tp / (predicted + positives) AS f1, (tp + total - positives - (predicted - tp)) / total AS accuracy FROM r)
+SELECT CAST(fold AS INTEGER) AS fold, t AS threshold, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(f1, 15) DESC, accuracy DESC, t DESC) = 1"""
+)
+def fold_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scored_events(spark, sf_dir).withColumn("fold", F.col("event_id") % 3)
+    return rounded(evaluation.fold_thresholds(e, F.col("y"), F.col("p"), "fold", 3))
+
+
+@query()
+def compare_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thresholds on the same scores, as two studies."""
+    e = scored_events(spark, sf_dir)
+    low, high = (e.select("event_id", "y", (F.col("p") >= t).cast("int").alias("predicted")) for t in (0.5, 0.6))
+    return rounded(evaluation.compare_studies(low, high, "event_id", "y", "predicted"))
