@@ -2,8 +2,10 @@
 
 Rows are dealt to shards of bounded size by a hash of their id. Each shard has
 nested levels, every one a graph over a part of the level below, stored as flat
-arrays of neighbours. Queries descend greedily to the bottom level and search
-it with a beam; the shards' results are merged. Inner product is turned into a
+arrays of neighbours. A level holds at least one point of every piece into which
+the graph below falls, and all points no link leads to; bridges join the pieces.
+Queries descend with a beam and enter the bottom level at several points; the
+shards' results are merged. Inner product is turned into a
 distance by one more coordinate that gives all vectors the same length. Equal
 vectors of a shard are one node with a list of ids.
 """
@@ -81,6 +83,55 @@ def build_level(points: np.ndarray, most: int, candidates: int = 48, block: int
     return links
 
 
+def _pieces(links: np.ndarray) -> np.ndarray:
+    """Each point's piece of the graph, named by its least place; links count both ways."""
+    rows, columns = np.nonzero(links >= 0)
+    source, target = rows, links[rows, columns]
+    label = np.arange(len(links))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, source, before[target])
+        np.minimum.at(label, target, before[source])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _gateways(links: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` places of ``order``, and as many more as let links lead to every point."""
+    seen = np.zeros(len(links) + 1, bool)
+    seen[-1] = True  # free places
+
+    def spread(fresh: np.ndarray) -> None:
+        seen[fresh] = True
+        while len(fresh):
+            near = np.unique(links[fresh])
+            fresh = near[~seen[near]]
+            seen[fresh] = True
+
+    chosen = list(order[:size])
+    spread(order[:size])
+    for i in order[size:]:
+        if not seen[i]:
+            chosen.append(i)
+            spread(np.array([i]))
+    return np.sort(np.array(chosen))
+
+
+def _bridges(points: np.ndarray, piece: np.ndarray, gates: np.ndarray, most: int, candidates: int = 24, block: int = 512) -> np.ndarray:
+    """For each point ``most`` diverse ones of the nearest ``gates`` in other pieces, -1 where free."""
+    out = np.full((len(points), most), -1, np.int32)
+    wide = min(len(gates), candidates)
+    for i in range(0, len(points), block):
+        sims = points[i : i + block] @ points[gates].T
+        sims[piece[i : i + block, None] == piece[gates]] = -np.inf
+        near = np.argsort(-sims, axis=1, kind="stable")[:, :wide]
+        part = np.take_along_axis(sims, near, axis=1)
+        picked = _diverse(points, np.arange(i, i + len(sims)), np.where(part > -np.inf, gates[near], -1), part, most)
+        out[i : i + block, : picked.shape[1]] = picked
+    return out
+
+
 class Graph:
     """Levels from the bottom: places of their points, and their neighbours."""
 
@@ -88,52 +139,49 @@ class Graph:
         self.points, self.members, self.links = points, members, links
 
     @classmethod
-    def build(cls, points: np.ndarray, most: int = 24, thin: int = 16, seed: int = 3) -> "Graph":
-        order = np.random.default_rng(seed).permutation(len(points))
-        members, links, size = [], [], len(points)
+    def build(cls, points: np.ndarray, most: int = 24, thin: int = 16, bridges: int = 4, seed: int = 3) -> "Graph":
+        random = np.random.default_rng(seed)
+        members, links, own = [], [], np.arange(len(points))
         while True:
-            own = np.sort(order[:size]) if members else np.arange(len(points))
+            here = build_level(points[own], most if members else 2 * most)
+            gates = _gateways(here, random.permutation(len(own)), -(-len(own) // thin))
+            # a level that is small, or would hardly shrink, is searched exactly
+            last = len(own) <= 2 * thin or 2 * len(gates) > len(own)
+            piece = _pieces(here)
+            if not last and piece.any():
+                here = np.concatenate([here, _bridges(points[own], piece, gates, bridges)], axis=1)
             members.append(own.astype(np.int32))
-            links.append(build_level(points[own], 2 * most if len(members) == 1 else most))
-            if size <= 2 * thin:
+            links.append(here)
+            if last:
                 return cls(points, members, links)
-            size = -(-size // thin)
+            own = own[gates]
+
+    def search(self, queries: np.ndarray, k: int, beam: int, width: int = 4, entries: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """Places and products of the ``k`` best points found, -1 where there are fewer.
 
-    def search(self, queries: np.ndarray, k: int, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Places and products of the ``k`` best points found, -1 where there are fewer."""
-        top = self.members[-1]
-        at = top[np.argmax(queries @ self.points[top].T, axis=1)]
+        Each level is entered at the ``entries`` best points found on the level above.
+        """
+        top, beam = self.members[-1], max(beam, k)
+        entries = min(max(entries, k), beam)
+        at = top[np.argsort(-(queries @ self.points[top].T), axis=1, kind="stable")[:, :entries]].astype(np.int64)
         for level in range(len(self.members) - 2, 0, -1):
-            at = self._greedy(level, queries, at)
-        return self._beam(queries, at, k, max(beam, k), width)
-
-    def _greedy(self, level: int, queries: np.ndarray, at: np.ndarray) -> np.ndarray:
-        members, links = self.members[level], self.links[level]
-        here = np.searchsorted(members, at)
-        best = np.einsum("qd,qd->q", queries, self.points[members[here]])
-        moving = np.arange(len(queries))
-        while len(moving):
-            near = links[here[moving]]
-            sims = np.einsum("qd,qnd->qn", queries[moving], self.points[members[np.maximum(near, 0)]])
-            sims[near < 0] = -np.inf
-            step = sims.argmax(axis=1)
-            found = sims[np.arange(len(moving)), step]
-            better = found > best[moving]
-            here[moving[better]] = near[better, step[better]]
-            best[moving[better]] = found[better]
-            moving = moving[better]
-        return members[here]
-
-    def _beam(self, queries: np.ndarray, at: np.ndarray, k: int, beam: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        q, links = len(queries), self.links[0]
-        rows = np.arange(q)[:, None]
-        seen = np.zeros((q, len(self.points) + 1), bool)
+            at, _ = self._beam(level, queries, at, entries, entries, width)
+        return self._beam(0, queries, at, k, beam, width)
+
+    def _beam(self, level: int, queries: np.ndarray, at: np.ndarray, k: int, beam: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best points of a level, searched from the points ``at`` of each query, -1 where free."""
+        q, members, links = len(queries), self.members[level], self.links[level]
+        rows, points = np.arange(q)[:, None], self.points[members]
+        start = np.where(at >= 0, np.searchsorted(members, at), -1)
+        seen = np.zeros((q, len(points) + 1), bool)
+        seen[rows, start] = True
         seen[:, -1] = True
-        seen[rows[:, 0], at] = True
         ids = np.full((q, beam), -1, np.int64)
         sims = np.full((q, beam), -np.inf, np.float32)
         done = np.ones((q, beam), bool)
-        ids[:, 0], sims[:, 0], done[:, 0] = at, np.einsum("qd,qd->q", queries, self.points[at]), False
+        first = slice(0, start.shape[1])
+        ids[:, first], done[:, first] = start, start < 0
+        sims[:, first] = np.where(start >= 0, np.einsum("qd,qnd->qn", queries, points[np.maximum(start, 0)]), -np.inf)
         live = np.arange(q)
         while len(live):
             # the best entries not yet expanded
@@ -151,7 +199,7 @@ class Graph:
             twice[:, 1:] = near[:, 1:] == near[:, :-1]
             near = np.where(twice | seen[live[:, None], near], -1, near)
             seen[live[:, None], near] = True
-            fresh = np.einsum("qd,qnd->qn", queries[live], self.points[np.maximum(near, 0)])
+            fresh = np.einsum("qd,qnd->qn", queries[live], points[np.maximum(near, 0)])
             fresh[near < 0] = -np.inf
             all_ids = np.concatenate([ids[live], near], axis=1)
             all_sims = np.concatenate([sims[live], fresh], axis=1)
@@ -160,7 +208,8 @@ class Graph:
             ids[live], sims[live] = np.take_along_axis(all_ids, keep, axis=1), np.take_along_axis(all_sims, keep, axis=1)
             done[live] = np.take_along_axis(all_done, keep, axis=1) | (sims[live] == -np.inf)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return np.where(np.take_along_axis(sims, order, axis=1) > -np.inf, np.take_along_axis(ids, order, axis=1), -1), np.take_along_axis(sims, order, axis=1)
+        sims = np.take_along_axis(sims, order, axis=1)
+        return np.where(sims > -np.inf, members[np.take_along_axis(ids, order, axis=1)], -1), sims
 
 
 # -- shards in Spark --

@@ -217,6 +217,20 @@ def test_neighbours_recall(spark):
     assert nearest(spark.createDataFrame([], df.schema)).collect() == []
 
 
+@pytest.mark.parametrize("group", [50, 500, 5000])
+def test_neighbours_in_groups(group):
+    from millrace.llm.neighbours import Graph
+
+    random = np.random.default_rng(8)
+    centres = random.normal(size=(10_000 // group, 64))
+    points = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), group, axis=0) + random.normal(size=(10_000, 64)) * 0.03
+    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+    found, _ = Graph.build(points).search(points[::25], 20, 128)
+    exact = np.argsort(-(points[::25] @ points.T), axis=1)[:, :20]
+    hits = [len(set(a) & set(b)) / 20 for a, b in zip(found.tolist(), exact.tolist())]
+    assert np.mean(hits) >= 0.99 and min(hits) >= 0.5
+
+
 def test_darts_estimate_weighted_similarity():
     from millrace.llm.darts import mix, signatures
 
