@@ -270,10 +270,16 @@ def near_classes(
     drawn = settle(sketch(rows, words, bands, band_rows, weighted), "sketches")
     known = drawn.where("doc_id is not null and set_hash is not null")
 
-    # one representative for equal sets
-    first = settle(known.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "first")
-    reps = known.join(first, (known["doc_id"] == first["node"]) & (known["set_hash"] == first["set_hash"]))
+    # one representative for equal sets; its number names the set, as an id may have several
+    first = known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
+    first = settle(first.withColumn("node", F.monotonically_increasing_id()), "first")
+    reps = known.join(first, ["doc_id", "set_hash"])
     reps = settle(reps.select("node", "signature", "buckets").dropDuplicates(["node"]), "representatives")
+    # ids with several sets, or with and without words, and the least of their sets
+    mark = F.when(F.col("set_hash").isNotNull(), F.xxhash64("set_hash"))
+    twins = drawn.where("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count("*").alias("n"), F.count("set_hash").alias("full"))
+    twins = settle(twins.where("low <> high or (full > 0 and full < n)").select("doc_id"), "twin-ids")
+    twins = settle(known.select("doc_id", "set_hash").join(twins, "doc_id").groupBy("doc_id").agg(F.min("set_hash").alias("least")), "twins")
     entries = reps.select("node", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     entries = settle(entries.join(shared, "bucket"), "entries")
@@ -294,10 +300,9 @@ def near_classes(
     sizes = families.groupBy("component").agg(F.count("*").alias("n"))
     own = families.join(sizes, "component").select(F.col("component").alias("family"), "node", "n").withColumn("block", _block(F.col("n"), block, 3))
     own = settle(own, "families")
-    sets = known.select(F.col("doc_id").alias("node"), "set_hash", F.col("shingles").alias("payload")).join(
-        first.select(F.col("node"), F.col("set_hash").alias("first_hash")), "node"
-    )
-    sets = settle(sets.where("set_hash = first_hash").join(own.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "payload"), "sets")
+    wanted = settle(first.join(own.select("node"), "node", "left_semi"), "wanted")
+    sets = known.select("doc_id", "set_hash", F.col("shingles").alias("payload")).join(wanted, ["doc_id", "set_hash"])
+    sets = settle(sets.select("node", "payload").dropDuplicates(["node"]), "sets")
     base = own.select("family", "block", "node", F.col("node").alias("part"), F.lit(False).alias("asks"))
     itself = base.withColumn("asks", F.lit(True))
     spread = own.where("block = 0 and n > %d" % block).select(
@@ -310,14 +315,22 @@ def near_classes(
     large = _parts(own.where("n > %d" % block).select("family", "node"), classes)
     apart = settle(_apart(large, "family", block), "apart").join(sets, "node")
     rest = _linked(apart, ["family", "block", "team"], resemblance, similarity)
-    classes = components(_star_edges(classes).unionByName(rest))
-
-    named = drawn.select("doc_id", "set_hash").join(first, "set_hash", "left")
-    named = named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
-    out = _parts(named, classes)
+    # all sets of one id
+    nodes = first.select("set_hash", "node")
+    same = known.select("doc_id", "set_hash").join(twins, "doc_id").where("set_hash <> least").select("set_hash", "least").distinct()
+    same = same.join(nodes.withColumnRenamed("node", "u"), "set_hash").join(nodes.select(F.col("set_hash").alias("least"), F.col("node").alias("v")), "least")
+    classes = components(_star_edges(classes).unionByName(rest).unionByName(same.select("u", "v")))
+
+    named = drawn.where("doc_id is not null").select("doc_id", "set_hash").join(twins, "doc_id", "left")
+    named = named.select("doc_id", F.coalesce("set_hash", "least").alias("set_hash"))
+    out = _parts(named.join(nodes, "set_hash"), classes).select("doc_id", "part", F.lit(False).alias("alone"))
+    # ids without words
+    out = out.unionByName(named.where("set_hash is null").select("doc_id", F.col("doc_id").alias("part"), F.lit(True).alias("alone")))
     # settled, so that the join below can split the rows of a large class
-    total = settle(out.where("part is not null").groupBy("part").agg(F.count("*").alias("class_size")), "class-sizes")
-    return out.join(total, "part", "left").select("doc_id", F.col("part").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    total = settle(out.groupBy("part", "alone").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "class-sizes")
+    out = out.join(total, ["part", "alone"]).select("doc_id", "class_id", "class_size")
+    unnamed = drawn.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return out.unionByName(unnamed)
 
 
 def _star_edges(found: DataFrame) -> DataFrame:

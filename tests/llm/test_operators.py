@@ -279,6 +279,19 @@ def test_near_classes_match_brute_force(spark, odd, empty):
     assert near_classes(empty).collect() == []
 
 
+def test_near_classes_join_all_texts_of_an_id(spark):
+    from millrace.llm.near_dedup import drop_near_copies, near_classes
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    texts = [(0, a), (0, b), (0, None), (1, a + " z"), (2, b + " z"), (3, b), (4, c + " z"), (5, c), (5, ""), (6, None), (6, ""), (9, c), (9, a), (None, a)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((tuple(r) for r in near_classes(df).collect()), key=repr)
+    # ids 0 and 9 have several texts: their classes are one
+    want = [(i, None if i is None else 6 if i == 6 else 0, 1 if i is None else 2 if i == 6 else 11) for i, _ in texts]
+    assert got == sorted(want, key=repr)
+    assert sorted((r["doc_id"] for r in drop_near_copies(df).collect()), key=repr) == [0, 0, 0, 6, 6, None]
+
+
 def test_packing_covers_every_id_once(odd, empty):
     from tokenizers import Tokenizer
 
