@@ -1,10 +1,13 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes in both directions and labels every byte; it
-is trained in numpy by backpropagation through time. Its state restarts at
-white space, so a word's labels are the same wherever it stands: a worker runs
-each distinct word once and adds up what a document's words got. Documents are
-read whole.
+The network reads a document's bytes in both directions and labels every byte,
+white space and digits included; a document's probabilities are the mean over
+its bytes. It is trained in numpy by backpropagation through time on passages of
+a bounded sample of labelled documents.
+
+Documents are read whole, in windows that run side by side: each direction
+starts ``context`` bytes before the bytes that its window labels, so that the
+state at a label has read that much text at least.
 """
 
 from __future__ import annotations
@@ -14,27 +17,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import byte_slices
 
 _PAD = 256
-#: Longer words are read in pieces of so many bytes; every byte gets a label.
-_PIECE = 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def encode_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and mask, a row for each word; padded behind."""
-    width = max(map(len, words))
-    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-    mask = np.arange(width) < np.array([len(w) for w in words])[:, None]
-    codes = np.full((len(words), width), _PAD, dtype=np.int32)
+def encode_passages(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and mask, a row for each passage; padded behind."""
+    width = max(map(len, passages))
+    flat = np.frombuffer(b"".join(passages), dtype=np.uint8)
+    mask = np.arange(width) < np.array([len(p) for p in passages])[:, None]
+    codes = np.full((len(passages), width), _PAD, dtype=np.int32)
     codes[mask] = flat
     return codes, mask.astype(np.float32)
 
@@ -44,8 +46,10 @@ class ByteGru:
     """Weights by name; ``f_`` reads forwards and ``b_`` backwards."""
 
     languages: list[str]
-    hidden: int = 16
+    hidden: int = 24
     seed: int = 11
+    #: 1 if one more output stands for what is no language
+    others: int = 0
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -56,8 +60,12 @@ class ByteGru:
             self.weights[f"{d}_in"] = random.normal(0, 0.3, (257, 3 * h)).astype(np.float32)
             self.weights[f"{d}_state"] = random.normal(0, h**-0.5, (h, 3 * h)).astype(np.float32)
             self.weights[f"{d}_bias"] = np.zeros(h, np.float32)
-        self.weights["out"] = random.normal(0, h**-0.5, (2 * h, len(self.languages))).astype(np.float32)
-        self.weights["out_bias"] = np.zeros(len(self.languages), np.float32)
+        self.weights["out"] = random.normal(0, h**-0.5, (2 * h, self.outputs)).astype(np.float32)
+        self.weights["out_bias"] = np.zeros(self.outputs, np.float32)
+
+    @property
+    def outputs(self) -> int:
+        return len(self.languages) + self.others
 
     def _read(self, d: str, codes: np.ndarray, mask: np.ndarray, tape: list | None) -> np.ndarray:
         """The state after each byte; ``tape`` gets what training needs."""
@@ -80,7 +88,7 @@ class ByteGru:
         return out
 
     def log_probabilities(self, codes: np.ndarray, mask: np.ndarray, tapes: dict | None = None) -> np.ndarray:
-        """Log probability of each language at each byte: (bytes, words, languages)."""
+        """Log probability of each language at each byte: (bytes, passages, languages)."""
         both = [self._read(d, codes, mask, None if tapes is None else tapes.setdefault(d, [])) for d in "fb"]
         states = np.concatenate(both, axis=2)
         if tapes is not None:
@@ -94,7 +102,7 @@ class ByteGru:
         tapes: dict = {}
         logs = self.log_probabilities(codes, mask, tapes)
         weight = mask.T[:, :, None] / mask.sum()
-        truth = np.eye(len(self.languages), dtype=logs.dtype)[labels][None]
+        truth = np.eye(self.outputs, dtype=logs.dtype)[labels][None]
         error = (np.exp(logs) - truth) * weight
         h, states, grads = self.hidden, tapes["states"], {}
         grads["out"] = np.einsum("tni,tnl->il", states, error)
@@ -103,7 +111,7 @@ class ByteGru:
         for k, d in enumerate("fb"):
             state = self.weights[f"{d}_state"]
             g_state, g_bias = np.zeros_like(state), np.zeros_like(self.weights[f"{d}_bias"])
-            g_in = np.zeros_like(self.weights[f"{d}_in"])
+            pre = np.empty((codes.shape[1], len(codes), 3 * h), state.dtype)
             ds = np.zeros_like(tapes[d][0][1])
             for t, s, z, r, q, n, m in reversed(tapes[d]):
                 ds = ds + back[t][:, k * h : (k + 1) * h]
@@ -114,23 +122,32 @@ class ByteGru:
                 da = np.concatenate([dz, dr, dn * r], axis=1)
                 g_state += s.T @ da
                 g_bias += (dn * r).sum(axis=0)
-                np.add.at(g_in, codes[:, t], np.concatenate([dz, dr, dn], axis=1))
+                np.concatenate([dz, dr, dn], axis=1, out=pre[t])
                 ds = ds * (1 - m) + dm * z + da @ state.T
+            g_in = np.zeros_like(self.weights[f"{d}_in"])
+            order = np.argsort(codes.T.ravel(), kind="stable")
+            seen, starts = np.unique(codes.T.ravel()[order], return_index=True)
+            g_in[seen] = np.add.reduceat(pre.reshape(-1, 3 * h)[order], starts, axis=0)
             grads |= {f"{d}_in": g_in, f"{d}_state": g_state, f"{d}_bias": g_bias}
         return float(-(logs * truth * weight).sum()), grads
 
-    def fit(self, words: list[bytes], labels: np.ndarray, epochs: int = 3, batch: int = 512, rate: float = 0.01) -> "ByteGru":
-        """Adam over seeded batches of words of similar length."""
+    def fit(self, passages: list[bytes], labels: np.ndarray, epochs: int = 3, batch: int = 128, rate: float = 0.01, least_steps: int = 200) -> "ByteGru":
+        """Adam over seeded batches of passages of similar length.
+
+        Small samples are gone through more often, until ``least_steps`` are made.
+        """
         random = np.random.default_rng(self.seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step, lengths = 0, np.array([len(w) for w in words])
-        total = epochs * -(-len(words) // batch)
+        step, lengths = 0, np.array([len(p) for p in passages])
+        batches = -(-len(passages) // batch)
+        epochs = max(epochs, -(-least_steps // batches))
+        total = epochs * batches
         for _ in range(epochs):
-            order = np.argsort(lengths + random.random(len(words)) * 2)
+            order = np.argsort(lengths + random.random(len(passages)) * 16)
             cuts = [order[i : i + batch] for i in range(0, len(order), batch)]
             for k in random.permutation(len(cuts)):
-                codes, mask = encode_words([words[i] for i in cuts[k]])
+                codes, mask = encode_passages([passages[i] for i in cuts[k]])
                 _, grads = self.loss_and_gradients(codes, mask, labels[cuts[k]])
                 step += 1
                 pace = rate * (1 - 0.9 * step / total)
@@ -142,79 +159,154 @@ class ByteGru:
         return self
 
 
-def _pieces(word: str) -> list[bytes]:
-    raw = word.encode("utf-8", "replace")
-    return [raw[i : i + _PIECE] for i in range(0, len(raw), _PIECE)]
-
+class Reader:
+    """Runs a network over whole texts, ``together`` windows at a time.
 
-class WordLabels:
-    """Sums of probabilities by distinct word; the memo starts anew when full."""
-
-    def __init__(self, model: ByteGru, entries: int = 150_000, batch: int = 4096):
-        self.model, self.entries, self.batch = model, entries, batch
-        self.place: dict[str, int] = {}
-        self.sums = np.zeros((0, len(model.languages) + 1), np.float32)
-
-    def _label(self, words: list[str]) -> np.ndarray:
-        """Per word: probabilities summed over its bytes, and its bytes.
-
-        Words without a letter count for nothing.
-        """
-        out = np.zeros((len(words), len(self.model.languages) + 1), np.float32)
-        owners = [(i, p) for i, w in enumerate(words) if any(map(str.isalpha, w)) for p in _pieces(w)]
-        owners.sort(key=lambda x: len(x[1]))
-        for i in range(0, len(owners), self.batch):
-            part = owners[i : i + self.batch]
-            codes, mask = encode_words([p for _, p in part])
-            found = np.exp(self.model.log_probabilities(codes, mask)) * mask.T[:, :, None]
-            rows = np.concatenate([found.sum(axis=0), mask.sum(axis=1)[:, None]], axis=1)
-            np.add.at(out, [k for k, _ in part], rows)
-        return out
+    A window labels ``core`` bytes. Memory does not depend on a text's length
+    but for the text itself.
+    """
 
-    def documents(self, texts: list[str]) -> np.ndarray:
-        """Pooled probabilities of each text; zeros if it has no letter."""
-        if len(self.place) > self.entries:
-            self.place, self.sums = {}, self.sums[:0]
-        split = [t.split() for t in texts]
-        fresh = list(set().union(*split).difference(self.place))
-        if fresh:
-            self.place.update(zip(fresh, range(len(self.sums), len(self.sums) + len(fresh))))
-            self.sums = np.concatenate([self.sums, self._label(fresh)])
-        out = np.zeros((len(texts), len(self.model.languages)))
-        for i, words in enumerate(split):
-            if words:
-                total = self.sums[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-                out[i] = total[:-1] / max(total[-1], 1.0)
+    def __init__(self, model: ByteGru, core: int = 256, context: int = 64, together: int = 1024):
+        self.model, self.core, self.context, self.together = model, core, context, together
+        h, w = model.hidden, model.weights
+        self.gates = {}
+        for d in "fb":
+            # a sigmoid is a tanh of half its argument; padding leaves the state as it is
+            table = w[f"{d}_in"].astype(np.float32) * np.repeat(np.float32([0.5, 0.5, 1]), h)
+            state = w[f"{d}_state"].astype(np.float32) * np.repeat(np.float32([0.5, 0.5, 1]), h)
+            table[_PAD, :h] = 1e4
+            parts = [(np.ascontiguousarray(table[:, i : i + h]), np.ascontiguousarray(state[:, i : i + h])) for i in range(0, 3 * h, h)]
+            self.gates[d] = (parts, w[f"{d}_bias"].astype(np.float32))
+
+    def _states(self, d: str, codes: np.ndarray) -> np.ndarray:
+        """The state after each byte of ``codes`` (steps, windows), in reading order."""
+        ((in_z, u_z), (in_r, u_r), (in_n, u_n)), bias = self.gates[d]
+        out = np.empty((len(codes), codes.shape[1], self.model.hidden), np.float32)
+        s = np.zeros(out.shape[1:], np.float32)
+        z, r, n, x = (np.empty_like(s) for _ in range(4))
+        for t, c in enumerate(codes):
+            np.matmul(s, u_z, out=z)
+            z += np.take(in_z, c, axis=0, out=x, mode="clip")
+            np.tanh(z, out=z)
+            np.matmul(s, u_r, out=r)
+            r += np.take(in_r, c, axis=0, out=x, mode="clip")
+            np.tanh(r, out=r)
+            r += 1
+            r *= 0.5
+            np.matmul(s, u_n, out=n)
+            n += bias
+            n *= r
+            n += np.take(in_n, c, axis=0, out=x, mode="clip")
+            np.tanh(n, out=n)
+            n -= s
+            z *= -0.5
+            z += 0.5
+            n *= z
+            s = np.add(s, n, out=out[t])
         return out
 
+    def _window_sums(self, codes: np.ndarray, core: int) -> np.ndarray:
+        """Per window the probabilities summed over its ``core`` middle bytes.
 
-def training_words(df: DataFrame, id: str, text: str, label: str, max_documents: int, max_words: int, buckets: int, held_out: int) -> tuple[list[bytes], list[str]]:
-    """A bounded sample: words spread evenly over the texts of sampled documents.
-
-    At most ``max_documents`` documents in seeded order, ``max_words`` words of
-    each; documents of the held-out bucket never.
+        ``codes`` (windows, context + core + context) is padded where no text is.
+        """
+        h, side = self.model.hidden, self.context
+        steps = np.ascontiguousarray(codes.T)
+        forward = self._states("f", steps[: side + core])[side:]
+        backward = self._states("b", steps[side:][::-1])[side:][::-1]
+        out_f, out_b = self.model.weights["out"][:h].astype(np.float32), self.model.weights["out"][h:].astype(np.float32)
+        sums = np.zeros((len(codes), self.model.outputs))
+        rows = max(1, (1 << 22) // (len(codes) * sums.shape[1]))
+        for t in range(0, core, rows):
+            scores = forward[t : t + rows] @ out_f
+            scores += backward[t : t + rows] @ out_b
+            scores += self.model.weights["out_bias"]
+            scores -= scores.max(axis=2, keepdims=True)
+            np.exp(scores, out=scores)
+            scores /= scores.sum(axis=2, keepdims=True)
+            scores *= (steps[side + t : side + min(core, t + rows)] != _PAD)[:, :, None]
+            sums += scores.sum(axis=0)
+        return sums
+
+    def documents(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each text's mean probability of each language; text ``i`` is ``flat[ends[i] : ends[i + 1]]``.
+
+        Zeros for an empty text.
+        """
+        sizes = np.diff(ends)
+        count = -(-sizes // self.core)
+        owner = np.repeat(np.arange(len(sizes)), count)
+        start = ends[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * self.core
+        width = np.minimum(ends[1:][owner] - start, self.core)
+        sums = np.zeros((len(sizes), self.model.outputs))
+        order = np.argsort(-width, kind="stable")
+        for i in range(0, len(order), self.together):
+            some = order[i : i + self.together]
+            core = int(width[some[0]])
+            at = start[some, None] + np.arange(-self.context, core + self.context)
+            inside = (at >= ends[:-1][owner[some], None]) & (at < ends[1:][owner[some], None])
+            codes = np.where(inside, flat[np.clip(at, 0, len(flat) - 1)], np.int16(_PAD))
+            np.add.at(sums, owner[some], self._window_sums(codes, core))
+        return sums[:, : len(self.model.languages)] / np.maximum(sizes, 1)[:, None]
+
+    def texts(self, texts: list[str]) -> np.ndarray:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        return self.documents(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]))
+
+
+# -- the sample --
+
+#: First letters of scripts from which noise is drawn.
+_SCRIPTS = (0x61, 0xE0, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x3041, 0x4E00, 0xAC00)
+
+
+def noise(lengths: list[int], seed: int = 5) -> list[bytes]:
+    """Passages of letters drawn evenly from one script each, in words: no language."""
+    random, out = np.random.default_rng(seed), []
+    for i, n in enumerate(lengths):
+        first = _SCRIPTS[i % len(_SCRIPTS)]
+        letters = first + random.integers(0, 26 if first < 0x4E00 else 5000, n)
+        out.append("".join(map(chr, np.where(random.random(n) < 0.16, 0x20, letters))).encode())
+    return out
+
+
+def bucket_of(id: Column, buckets: int) -> Column:
+    return F.crc32(id.cast("string").cast("binary")) % buckets
+
+
+def _passages(text: Column, most: int, chars: int) -> Column:
+    """Up to ``most`` passages of ``chars`` characters, spread evenly over the text."""
+    size = F.char_length(text)
+    count = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(size / chars).cast("int")))
+    step = F.greatest(size - chars, F.lit(0)) / F.greatest(count - 1, F.lit(1))
+    every = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(chars)))
+    return F.filter(every, lambda p: p.rlike(r"\p{L}"))
+
+
+def labelled_sample(
+    df: DataFrame, id: str, text: str, label: str, wanted: Column, per_language: int, most: int, chars: int
+) -> list[tuple[str, list[str]]]:
+    """Label and passages of the ``per_language`` documents of least rank of each label.
+
+    The rank is a digest of the id, ties go by the text's hash. Whatever the
+    size of the table, only rows up to the bucket of ranks in which a label's
+    quota is met are compared. Labels are a vocabulary, and come to the driver.
     """
-    bucket = F.crc32(F.col(id).cast("string").cast("binary")) % buckets
-    rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(id).isNotNull() & (bucket != held_out))
     rank = F.md5(F.concat(F.lit("language|"), F.col(id).cast("string")))
-    rows = rows.select(rank.alias("rank"), F.xxhash64(text).alias("tie"), F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = []
-            for t in batch.column("text").to_pylist():
-                own = [w for w in t.split() if any(map(str.isalpha, w))]
-                words.append([own[i] for i in np.linspace(0, len(own) - 1, min(len(own), max_words)).astype(int)] if own else [])
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
-
-    # the least ranks all lie below this, but for a chance of less than 1e-300
-    share = 4 * max_documents / max(1, rows.count())
-    if share < 1:
-        rows = rows.where(F.col("rank") < f"{int(share * 16**8):08x}")
-    best = rows.orderBy("rank", "tie", "label").limit(max_documents)
-    found = best.mapInArrow(spread, "label string, words array<string>").collect()
-    pairs = [(p, r.label) for r in found for w in r.words for p in _pieces(w)]
-    return [p for p, _ in pairs], [label for _, label in pairs]
+    rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(id).isNotNull() & wanted)
+    rows = rows.select(rank.alias("rank"), F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
+    bucket = F.substring("rank", 1, 3)
+    counts = rows.groupBy("label", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = {r.label: r.last for r in counts.withColumn("ahead", ahead).where(F.col("ahead") < per_language).groupBy("label").agg(F.max("bucket").alias("last")).collect()}
+    if not last:
+        return []
+    limits = df.sparkSession.createDataFrame(list(last.items()), "label string, last string")
+    near = rows.join(F.broadcast(limits), "label").where(bucket <= F.col("last"))
+    cut = near.select("label", "rank", F.xxhash64("text").alias("tie"), _passages(F.col("text"), most, chars).alias("passages"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("rank", "tie", "passages"))
+    found = cut.withColumn("place", place).where(F.col("place") <= per_language).orderBy("label", "place").collect()
+    return [(r.label, r.passages) for r in found if r.passages]
 
 
 def train(
@@ -222,43 +314,70 @@ def train(
     id: str = "doc_id",
     text: str = "text",
     label: str = "lang",
-    max_documents: int = 2000,
-    max_words: int = 64,
-    hidden: int = 16,
+    per_language: int = 500,
+    passages: int = 2,
+    chars: int = 128,
+    hidden: int = 24,
     epochs: int = 3,
     buckets: int = 4,
     held_out: int = 2,
 ) -> ByteGru | None:
     """The network, fitted on a bounded sample on the driver; None without labels.
 
-    The sample's bound is ``max_documents`` times ``max_words`` words.
+    The sample has ``per_language`` documents of each label, none of the held-out
+    bucket, and ``passages`` passages of ``chars`` characters of each. As many
+    passages of noise as documents teach one more output, so that a text which
+    is like no language gets little of any.
     """
-    words, names = training_words(df, id, text, label, max_documents, max_words, buckets, held_out)
-    if not words:
+    wanted = bucket_of(F.col(id), buckets) != held_out
+    found = labelled_sample(df, id, text, label, wanted, per_language, passages, chars)
+    if not found:
         return None
-    languages = sorted(set(names))
-    place = {name: i for i, name in enumerate(languages)}
-    return ByteGru(languages, hidden).fit(words, np.array([place[n] for n in names]), epochs)
+    languages = sorted({name for name, _ in found})
+    pairs = [(p.encode("utf-8", "replace"), languages.index(name)) for name, own in found for p in own]
+    pairs += [(p, len(languages)) for p in noise([len(p) for own in found for p in own[1][:1]])]
+    return ByteGru(languages, hidden, others=1).fit([p for p, _ in pairs], np.array([i for _, i in pairs]), epochs)
+
+
+def least_score(
+    df: DataFrame, model: ByteGru, id: str = "doc_id", text: str = "text", label: str = "lang", buckets: int = 4, held_out: int = 2, per_language: int = 200
+) -> float:
+    """Half of what all but 1 % of held-out documents score, and no more than chance.
+
+    Read from passages of at most ``per_language`` held-out documents of each
+    label; 0 if there are none.
+    """
+    found = labelled_sample(df, id, text, label, bucket_of(F.col(id), buckets) == held_out, per_language, 2, 128)
+    if not found:
+        return 0.0
+    reader = Reader(model)
+    scores = [reader.texts(own).mean(axis=0).max() for _, own in found]
+    return float(min(1 / len(model.languages), 0.5 * np.quantile(scores, 0.01)))
 
 
 def predict(df: DataFrame, model: ByteGru | None, text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` added (they replace such columns).
 
-    ``und`` with score 0 if the text is null or has no letter.
+    ``und`` with score 0 if the text is null or has no letter, or without a model.
     """
     base = df.drop("lang_pred", "score")
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = WordLabels(model) if model else None
+        reader = Reader(model) if model else None
+        names = np.array([*(model.languages if model else []), "und"], dtype=object)
         for batch in batches:
             for part in byte_slices(batch, text, batch_bytes):
-                texts = [t or "" for t in part.column(text).to_pylist()]
-                found = labels.documents(texts) if labels else np.zeros((len(texts), 1))
-                names = model.languages if model else ["und"]
-                best, score = found.argmax(axis=1), found.max(axis=1)
-                pred = [names[b] if s > 0 else "und" for b, s in zip(best, score)]
-                columns = [*part.columns, pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0), pa.float64())]
+                held = pc.fill_null(part.column(text), "").cast(pa.large_string())
+                found = np.zeros((part.num_rows, 1))
+                if reader and part.num_rows:
+                    _, offsets, body = held.buffers()
+                    ends = np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1]
+                    found = reader.documents(np.frombuffer(body or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0])
+                letters = pc.match_substring_regex(held, r"\p{L}").to_numpy(zero_copy_only=False) & (reader is not None)
+                pred = np.where(letters, found.argmax(axis=1), len(names) - 1)
+                score = np.where(letters, np.minimum(found.max(axis=1), 1.0), 0.0)
+                columns = [*part.columns, pa.array(names[pred], pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score"])
 
     return base.mapInArrow(run, schema)
@@ -271,22 +390,30 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", label: str =
     not ``held_out``; only the text decides a prediction. A null or letterless
     text is ``und`` with score 0, as is every text if there are no labels. Rows
     without an id are predicted, never learned from, and not held out. Repeated
-    rows come back as they are. An empty table gives an empty result.
+    rows come back as they are, and so do rows that repeat an id. Very long
+    texts are read whole. Other columns are not read. An empty table gives an
+    empty result.
     """
     model = train(df, id, text, label, buckets=buckets, held_out=held_out, **settings)
-    out = F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % buckets == held_out, F.lit(False))
+    out = F.coalesce(bucket_of(F.col(id), buckets) == held_out, F.lit(False))
     rows = df.select(F.col(id).alias("doc_id"), out.alias("held_out"), F.col(text).alias("text"))
     return predict(rows, model, "text").drop("text")
 
 
-def keep_identified(df: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", min_score: float = 0.3, **settings) -> DataFrame:
+def keep_identified(df: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", min_score: float | None = None, **settings) -> DataFrame:
     """``df`` without the documents that are ``und`` or score below ``min_score``.
 
-    Same columns. Four even languages give 0.25, so only texts that look like
-    none of them go.
+    Same columns, whatever their names. The limit is read from held-out scores
+    where it is not given, see ``least_score``. Null, empty and letterless texts
+    are ``und``. Without any label there is nothing to learn from, and all rows
+    stay. Repeated rows stay or go together; rows without an id are judged like
+    others. An empty table gives an empty one.
     """
     columns = df.columns
     model = train(df, id, text, label, **settings)
-    marked = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    kept = predict(marked, model, f"c{columns.index(text)}").where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    if model is None:
+        return df
+    limit = least_score(df, model, id, text, label) if min_score is None else min_score
+    marked = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    kept = predict(marked, model, f"c{columns.index(text)}").where((F.col("lang_pred") != "und") & (F.col("score") >= limit))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

@@ -156,11 +156,11 @@ def test_url_rules_and_templates(spark):
 
 
 def test_network_gradients_agree_with_differences():
-    from millrace.llm.language import ByteGru, encode_words
+    from millrace.llm.language import ByteGru, encode_passages
 
     model = ByteGru(["a", "b", "c"], hidden=3)
     model.weights = {k: v.astype(float) for k, v in model.weights.items()}
-    codes, mask = encode_words([b"abc", b"de", b"abcdef"])
+    codes, mask = encode_passages([b"abc", b"de", b"abcdef"])
     labels = np.array([0, 1, 2])
     _, grads = model.loss_and_gradients(codes, mask.astype(float), labels)
     random = np.random.default_rng(1)
@@ -191,6 +191,55 @@ def test_language_of_held_out_documents(spark, odd, empty):
     assert identify(empty).collect() == []
 
 
+def test_reader_matches_the_whole_text():
+    from millrace.llm.language import ByteGru, Reader, encode_passages
+
+    model = ByteGru(["a", "b", "c"], hidden=5, others=1)
+    texts = ["", "x", "one two", "日本語" * 9, "long text " * 13, "é"]
+    for core, together in ((7, 3), (256, 1024)):
+        found = Reader(model, core, context=500, together=together).texts(texts)
+        assert not found[0].any()
+        for text, own in zip(texts[1:], found[1:]):
+            whole = np.exp(model.log_probabilities(*encode_passages([text.encode()])))[:, 0]
+            assert own == pytest.approx(whole.mean(axis=0)[:3], abs=1e-5)
+
+
+def test_language_needs_context(spark):
+    from millrace.llm.language import identify
+
+    # both languages have the same words: only their order tells
+    orders = {"xx": "kato kato mika mika", "yy": "kato mika kato mika"}
+    rows = [(i, " ".join([orders["xx" if i % 2 else "yy"]] * (3 + i % 5)), "xx" if i % 2 else "yy") for i in range(400)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=64, epochs=40).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 50 and np.mean([r["lang_pred"] == ("xx" if r["doc_id"] % 2 else "yy") for r in held]) > 0.95
+
+
+def test_language_learns_from_rows_of_one_id(spark):
+    from millrace.llm.language import identify
+
+    for own in (8, 3):
+        df = spark.range(9000).selectExpr(f"{own} as doc_id", "case when id % 2 = 0 then 'kato mika' else 'zurg grub' end as text", "case when id % 2 = 0 then 'xx' else 'yy' end as lang")
+        got = identify(df, per_language=50).groupBy("lang_pred", "held_out").count().collect()
+        assert sorted(map(tuple, got)) == [("xx", False, 4500), ("yy", False, 4500)]
+
+
+def test_rejected_documents(spark):
+    from millrace.llm.language import keep_identified
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    random = np.random.default_rng(4)
+    letters = ["".join(map(chr, np.where(random.random(300) < 0.15, 32, first + random.integers(0, 26, 300)))) for first in (0x61, 0x430, 0x3B1)]
+    strange = [(10**6 + i, t, None, None, None) for i, t in enumerate([*letters, "这是一个没有空格的句子" * 9, None, "", "123 !?"])]
+    kept = keep_identified(docs.unionByName(spark.createDataFrame(strange, docs.schema)))
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    clean = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert not [i for i in ids if i >= 10**6] and len(ids & clean) >= 0.998 * len(clean)
+    # nothing to learn from: nothing is rejected
+    unlabelled = docs.limit(20).withColumn("lang", docs["lang"].substr(9, 1)).selectExpr("doc_id", "text", "nullif(lang, '') as lang")
+    assert keep_identified(unlabelled).count() == 20
+
+
 def test_neighbours_recall(spark):
     from millrace.llm.neighbours import nearest
 
