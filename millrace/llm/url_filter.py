@@ -1,17 +1,20 @@
 """URL filters: listed rules, and a path-template tree for all other URLs.
 
-Each host has a tree whose levels are path segments. Segments that only vary
-(numbers, digests) are wildcards from the start. From the top down, a branch
-whose labels do not differ from those of all its siblings is merged with them
-into one wildcard, and so are branches without enough labels to tell. Each path
-then has a template, and a template is rejected if enough of its labelled URLs
-were blocked, by a purity that is smoothed towards the host's own.
+Each host has a tree whose levels are path segments. Numbers and digests are
+wildcards from the start. From the top down, the branches of a node that holds
+both verdicts are compared with one another, and those whose shares of blocked
+labels do not differ are merged; a node whose labels agree is a leaf. What tells
+branches apart may stand at any depth. Every level has a smoothed purity, drawn
+towards that of the level above it, and a template is rejected if its own is too
+high.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,30 +68,104 @@ def segment_kind(segment: Column) -> Column:
     return F.regexp_replace(plain, r"[0-9]+", "{n}")
 
 
-def templates(labelled: DataFrame, depth: int, min_labels: int, z: float) -> DataFrame:
-    """The template of each distinct ``host, segments`` of ``labelled``.
+def apart(b1: float, n1: float, b2: float, n2: float, z: float) -> bool:
+    """Two shares lie more than ``z`` standard errors apart (adjusted Wald)."""
+    p1, p2 = (b1 + 1) / (n1 + 2), (b2 + 1) / (n2 + 2)
+    error = (p1 * (1 - p1) / (n1 + 2) + p2 * (1 - p2) / (n2 + 2)) ** 0.5
+    return abs(p1 - p2) > z * error
 
-    ``labelled`` has ``host, segments, urls, allowed, blocked``, a row for each
-    distinct path. One aggregation a level, over distinct paths only. Below
-    ``depth`` levels all segments are one wildcard.
+
+def merge_branches(counts: Iterable[tuple[int, int, int]], z: float) -> dict[tuple[int, int], int]:
+    """A group for the branches of one node, by their (allowed, blocked) counts.
+
+    ``counts`` has (allowed, blocked, branches) for each distinct pair. From the
+    most to the fewest labels, branches join the group whose share is nearest
+    to theirs, if one of them does not differ from it, and open a group if it
+    does. Branches without labels join the only group, or make one, -1.
+    """
+    groups: list[list[int]] = []
+    out: dict[tuple[int, int], int] = {}
+    for a, b, times in sorted(counts, key=lambda x: (-x[0] - x[1], -x[1])):
+        if a + b == 0:
+            out[a, b] = 0 if len(groups) == 1 else -1
+            continue
+        share = b / (a + b)
+        best = min(range(len(groups)), key=lambda i: abs(groups[i][0] / groups[i][1] - share), default=None)
+        if best is None or apart(b, a + b, *groups[best], z):
+            best = len(groups)
+            groups.append([0, 0])
+        groups[best][0] += b * times
+        groups[best][1] += (a + b) * times
+        out[a, b] = best
+    return out
+
+
+def _merged(nodes: DataFrame, z: float) -> DataFrame:
+    """``host, template, a, b, part`` of ``host, template, a, b, times``.
+
+    A node's branches with the same counts are one row, so that a node with very
+    many branches has few rows.
     """
-    rows = labelled.withColumn("template", F.lit(""))
-    for level in range(1, depth + 1):
-        rows = rows.withColumn("branch", F.get(F.col("segments"), F.lit(level - 1)))
-        branches = rows.where("branch is not null").groupBy("host", "template", "branch").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
-        nodes = branches.groupBy("host", "template").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
-        n, p = F.col("a") + F.col("b"), F.col("all_b") / F.greatest(F.col("all_a") + F.col("all_b"), F.lit(1))
-        others = F.greatest(F.col("all_a") + F.col("all_b") - n, F.lit(0))
-        # two shares differ if they lie more than z standard errors apart
-        own, rest = F.col("b") / F.greatest(n, F.lit(1)), (F.col("all_b") - F.col("b")) / F.greatest(others, F.lit(1))
-        error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
-        apart = (n >= min_labels) & ((others == 0) | (F.abs(own - rest) > z * error))
-        kept = branches.join(nodes, ["host", "template"]).where(apart).select("host", "template", "branch", F.lit(True).alias("kept"))
-        rows = rows.join(kept, ["host", "template", "branch"], "left")
-        step = F.when(F.col("branch").isNull(), "").when(F.col("kept"), F.concat(F.lit("/"), F.col("branch"))).otherwise("/*")
-        rows = settle(rows.withColumn("template", F.concat("template", step)).drop("branch", "kept"), f"url-level-{level}")
-    deeper = F.when(F.size("segments") > depth, "/**").otherwise("")
-    return rows.withColumn("template", F.concat("template", deeper))
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        a, b, times = (table.column(c).to_pylist() for c in ("a", "b", "times"))
+        found = merge_branches(zip(a, b, times), z)
+        names = {c: pa.array([k.as_py()] * len(a), pa.string()) for c, k in zip(("host", "template"), key)}
+        return pa.table({**names, "a": a, "b": b, "part": pa.array([found[x] for x in zip(a, b)], pa.int32())})
+
+    return nodes.groupBy("host", "template").applyInArrow(merge, "host string, template string, a long, b long, part int")
+
+
+def path_templates(paths: DataFrame, overall: float, z: float, prior: float) -> DataFrame:
+    """``host, segments, template, purity`` of ``host, segments, allowed, blocked``.
+
+    A round is one level of all trees, over the distinct paths below nodes that
+    hold both verdicts; rounds end when there are none. A template names a
+    merged branch by its first members, and ends in ``/**`` at a leaf that has
+    something below it.
+    """
+
+    def smoothed(a: str, b: str, towards: Column) -> Column:
+        return (F.col(b) + prior * towards) / (F.col(a) + F.col(b) + prior)
+
+    hosts = paths.groupBy("host").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
+    hosts = hosts.select("host", smoothed("a", "b", F.lit(overall)).alias("purity"), ((F.col("a") > 0) & (F.col("b") > 0)).alias("mixed"))
+    rows = paths.withColumn("template", F.lit("")).join(hosts, "host")
+    done, level = [], 0
+    while True:
+        level += 1
+        rows = rows.withColumn("branch", F.get("segments", F.lit(level - 1)))
+        leaf = F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/**")))
+        done.append(rows.where("not mixed").select("host", "segments", leaf.alias("template"), "purity"))
+        rows = rows.where("mixed")
+        branches = settle(rows.groupBy("host", "template", "branch").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")), f"url-branches-{level}")
+        if branches.isEmpty():
+            break
+        below = branches.where("branch is not null")
+        parts = _merged(below.groupBy("host", "template", "a", "b").agg(F.count("*").alias("times")), z)
+        below = settle(below.join(parts, ["host", "template", "a", "b"]), f"url-parts-{level}")
+        # paths that end here are a branch of their own
+        first = F.slice(F.sort_array(F.collect_set("branch")), 1, 3)
+        named = below.groupBy("host", "template", "part", F.xxhash64("branch").bitwiseAND(63).alias("salt")).agg(
+            first.alias("first"), F.count("*").alias("members"), F.sum("a").alias("a"), F.sum("b").alias("b")
+        )
+        named = named.groupBy("host", "template", "part").agg(
+            F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, 3).alias("first"), F.sum("members").alias("members"), F.sum("a").alias("a"), F.sum("b").alias("b")
+        )
+        more = F.when(F.col("members") > 3, F.concat(F.lit("|+"), (F.col("members") - 3).cast("string"))).otherwise("")
+        whole = F.concat(F.array_join("first", "|"), more)
+        step = F.concat(F.lit("/"), F.when(F.col("members") == 1, whole).otherwise(F.concat(F.lit("("), whole, F.lit(")"))))
+        named = named.select("host", "template", "part", step.alias("step"), "a", "b", ((F.col("a") > 0) & (F.col("b") > 0)).alias("mixed"))
+        steps = below.select("host", "template", "branch", "part").join(named, ["host", "template", "part"]).drop("part")
+        ends = branches.where("branch is null").select("host", "template", "branch", F.lit("").alias("step"), "a", "b", F.lit(False).alias("mixed"))
+        steps = steps.unionByName(ends).withColumn("branch", F.coalesce("branch", F.lit("")))
+        rows = rows.drop("mixed").withColumn("branch", F.coalesce("branch", F.lit(""))).join(steps, ["host", "template", "branch"])
+        rows = rows.withColumn("purity", smoothed("a", "b", F.col("purity"))).withColumn("template", F.concat("template", "step"))
+        rows = settle(rows.drop("branch", "step", "a", "b"), f"url-level-{level}")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def judge_urls(
@@ -96,8 +173,6 @@ def judge_urls(
     id: str = "page_id",
     url: str = "url",
     rules: tuple[UrlRule, ...] = RULES,
-    depth: int = 6,
-    min_labels: int = 8,
     z: float = 3.0,
     prior: float = 4.0,
     purity: float = 0.5,
@@ -105,11 +180,13 @@ def judge_urls(
     """``page_id, host, path, rule, verdict, template, purity`` for every row.
 
     The longest listed rule that fits decides. URLs that a rule decides are the
-    labels of the tree, which decides the others: block if the smoothed share
-    of blocked labels of the template, ``(blocked + prior * host's share) /
-    (labels + prior)``, is above ``purity``; a host without labels takes the
-    share of all hosts. Null URLs, and those without ``://``, have an empty
-    host and path. Repeated rows and rows without an id are judged alike.
+    labels of the tree, which decides the others: block if the smoothed share of
+    blocked labels of the template is above ``purity``. A level's share is
+    ``(blocked + prior * share of the level above) / (labels + prior)``; above a
+    host stand all hosts together. Paths are read to the end.
+
+    Null URLs, and those without ``://``, have an empty host and path. Repeated
+    rows and rows without an id are judged alike, and so are very long URLs.
     Other columns are not read. An empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
@@ -117,20 +194,13 @@ def judge_urls(
     name, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("listed"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    kinds = F.transform(F.slice(parts, 1, depth + 1), segment_kind)
+    kinds = F.transform(parts, segment_kind)
     rows = rows.withColumn("segments", F.when(F.size(parts) > 0, kinds).otherwise(F.array().cast("array<string>")))
-    counts = rows.groupBy("host", "segments").agg(
-        F.count("*").alias("urls"), F.count(F.when(F.col("listed") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("listed") == "block", 1)).alias("blocked")
-    )
-    tree = templates(settle(counts, "url-paths"), depth, min_labels, z)
-    leaves = tree.groupBy("host", "template").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
-    hosts = tree.groupBy("host").agg(F.sum("allowed").alias("host_a"), F.sum("blocked").alias("host_b"))
-    total = tree.agg(F.sum("allowed"), F.sum("blocked")).first()
+    counts = rows.groupBy("host", "segments").agg(F.count(F.when(F.col("listed") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("listed") == "block", 1)).alias("blocked"))
+    counts = settle(counts, "url-paths")
+    total = counts.agg(F.sum("allowed"), F.sum("blocked")).first()
     overall = (total[1] or 0) / max(1, (total[0] or 0) + (total[1] or 0))
-    host_share = (F.col("host_b") + prior * overall) / (F.col("host_a") + F.col("host_b") + prior)
-    share = (F.col("b") + prior * host_share) / (F.col("a") + F.col("b") + prior)
-    judged = leaves.join(hosts, "host").select("host", "template", share.alias("purity"))
-    by_path = tree.select("host", "segments", "template").join(judged, ["host", "template"])
-    joined = rows.join(by_path, ["host", "segments"], "left")
+    judged = settle(path_templates(counts, overall, z, prior), "url-templates")
+    joined = rows.join(judged, ["host", "segments"], "left")
     own = F.when(F.col("purity") > purity, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("listed", own).alias("verdict"), "template", "purity")
