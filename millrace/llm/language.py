@@ -46,7 +46,7 @@ class ByteGru:
     """Weights by name; ``f_`` reads forwards and ``b_`` backwards."""
 
     languages: list[str]
-    hidden: int = 24
+    hidden: int = 16
     seed: int = 11
     #: 1 if one more output stands for what is no language
     others: int = 0
@@ -162,7 +162,7 @@ class ByteGru:
 class Reader:
     """Runs a network over whole texts, ``together`` windows at a time.
 
-    A window labels ``core`` bytes. Memory does not depend on a text's length
+    A window labels up to ``core`` bytes. Memory does not depend on a text's length
     but for the text itself.
     """
 
@@ -172,11 +172,12 @@ class Reader:
         self.gates = {}
         for d in "fb":
             # a sigmoid is a tanh of half its argument; padding leaves the state as it is
-            table = w[f"{d}_in"].astype(np.float32) * np.repeat(np.float32([0.5, 0.5, 1]), h)
-            state = w[f"{d}_state"].astype(np.float32) * np.repeat(np.float32([0.5, 0.5, 1]), h)
-            table[_PAD, :h] = 1e4
+            half, whole = np.float32(0.5), np.float32(1)
+            table = w[f"{d}_in"].astype(np.float32) * np.repeat([-half, half, whole], h)
+            state = w[f"{d}_state"].astype(np.float32) * np.repeat([-half, half, half], h)
+            table[_PAD, :h] = -1e4
             parts = [(np.ascontiguousarray(table[:, i : i + h]), np.ascontiguousarray(state[:, i : i + h])) for i in range(0, 3 * h, h)]
-            self.gates[d] = (parts, w[f"{d}_bias"].astype(np.float32))
+            self.gates[d] = (parts, half * w[f"{d}_bias"].astype(np.float32))
 
     def _states(self, d: str, codes: np.ndarray) -> np.ndarray:
         """The state after each byte of ``codes`` (steps, windows), in reading order."""
@@ -185,48 +186,50 @@ class Reader:
         s = np.zeros(out.shape[1:], np.float32)
         z, r, n, x = (np.empty_like(s) for _ in range(4))
         for t, c in enumerate(codes):
+            # 2 (1 - z) - 1, then 2 r - 1
             np.matmul(s, u_z, out=z)
-            z += np.take(in_z, c, axis=0, out=x, mode="clip")
+            z += in_z.take(c, axis=0, out=x, mode="clip")
             np.tanh(z, out=z)
             np.matmul(s, u_r, out=r)
-            r += np.take(in_r, c, axis=0, out=x, mode="clip")
+            r += in_r.take(c, axis=0, out=x, mode="clip")
             np.tanh(r, out=r)
-            r += 1
-            r *= 0.5
             np.matmul(s, u_n, out=n)
             n += bias
-            n *= r
-            n += np.take(in_n, c, axis=0, out=x, mode="clip")
+            r *= n
+            n += r
+            n += in_n.take(c, axis=0, out=x, mode="clip")
             np.tanh(n, out=n)
             n -= s
-            z *= -0.5
-            z += 0.5
-            n *= z
-            s = np.add(s, n, out=out[t])
+            z *= n
+            z += n
+            z *= 0.5
+            s = np.add(s, z, out=out[t])
         return out
 
-    def _window_sums(self, codes: np.ndarray, core: int) -> np.ndarray:
-        """Per window the probabilities summed over its ``core`` middle bytes.
+    def _window_sums(self, codes: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        """Per window the probabilities summed over the bytes that it labels.
 
-        ``codes`` (windows, context + core + context) is padded where no text is.
+        ``codes`` (windows, context + widest + context) is padded where no text is.
         """
-        h, side = self.model.hidden, self.context
-        steps = np.ascontiguousarray(codes.T)
+        core = codes.shape[1] - 2 * self.context
+        h, side, outputs = self.model.hidden, self.context, self.model.outputs
+        steps = codes.T.astype(np.intp)
         forward = self._states("f", steps[: side + core])[side:]
         backward = self._states("b", steps[side:][::-1])[side:][::-1]
-        out_f, out_b = self.model.weights["out"][:h].astype(np.float32), self.model.weights["out"][h:].astype(np.float32)
-        sums = np.zeros((len(codes), self.model.outputs))
-        rows = max(1, (1 << 22) // (len(codes) * sums.shape[1]))
+        out, bias = self.model.weights["out"].astype(np.float32), self.model.weights["out_bias"].astype(np.float32)
+        sums = np.zeros((outputs, len(codes)))
+        rows = max(1, (1 << 20) // (len(codes) * outputs))
         for t in range(0, core, rows):
-            scores = forward[t : t + rows] @ out_f
-            scores += backward[t : t + rows] @ out_b
-            scores += self.model.weights["out_bias"]
-            scores -= scores.max(axis=2, keepdims=True)
+            # a row for each output, so that all steps run along whole rows
+            scores = out[:h].T @ forward[t : t + rows].reshape(-1, h).T
+            scores += out[h:].T @ backward[t : t + rows].reshape(-1, h).T
+            scores += bias[:, None]
+            scores -= scores.max(axis=0)
             np.exp(scores, out=scores)
-            scores /= scores.sum(axis=2, keepdims=True)
-            scores *= (steps[side + t : side + min(core, t + rows)] != _PAD)[:, :, None]
-            sums += scores.sum(axis=0)
-        return sums
+            own = np.arange(t, min(core, t + rows))[:, None] < widths
+            scores *= own.ravel() / scores.sum(axis=0)
+            sums += scores.reshape(outputs, -1, len(codes)).sum(axis=1)
+        return sums.T
 
     def documents(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each text's mean probability of each language; text ``i`` is ``flat[ends[i] : ends[i + 1]]``.
@@ -236,8 +239,10 @@ class Reader:
         sizes = np.diff(ends)
         count = -(-sizes // self.core)
         owner = np.repeat(np.arange(len(sizes)), count)
-        start = ends[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * self.core
-        width = np.minimum(ends[1:][owner] - start, self.core)
+        # a text's windows are about equally long
+        step = -(-sizes // np.maximum(count, 1))
+        start = ends[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * step[owner]
+        width = np.clip(ends[1:][owner] - start, 0, step[owner])
         sums = np.zeros((len(sizes), self.model.outputs))
         order = np.argsort(-width, kind="stable")
         for i in range(0, len(order), self.together):
@@ -246,7 +251,7 @@ class Reader:
             at = start[some, None] + np.arange(-self.context, core + self.context)
             inside = (at >= ends[:-1][owner[some], None]) & (at < ends[1:][owner[some], None])
             codes = np.where(inside, flat[np.clip(at, 0, len(flat) - 1)], np.int16(_PAD))
-            np.add.at(sums, owner[some], self._window_sums(codes, core))
+            np.add.at(sums, owner[some], self._window_sums(codes, width[some]))
         return sums[:, : len(self.model.languages)] / np.maximum(sizes, 1)[:, None]
 
     def texts(self, texts: list[str]) -> np.ndarray:
@@ -317,7 +322,7 @@ def train(
     per_language: int = 500,
     passages: int = 2,
     chars: int = 128,
-    hidden: int = 24,
+    hidden: int = 16,
     epochs: int = 3,
     buckets: int = 4,
     held_out: int = 2,

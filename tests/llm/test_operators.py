@@ -150,11 +150,97 @@ def test_url_rules_and_templates(spark):
     assert (got[2]["host"], got[2]["path"]) == ("a.example.org", "/en/12") and (got[0]["host"], got[0]["path"]) == ("", "")
     assert (got[9]["host"], got[9]["path"]) == ("example.org", "") and {r["verdict"] for r in got.values()} == {"allow", "block"}
     trees = {r["path"][:4]: (r["template"], r["verdict"]) for r in got.values() if r["host"] == "h.com"}
-    assert trees == {"/de/": ("/de/{n}", "block"), "/fr/": ("/fr/{n}", "allow"), "/it/": ("/*/*", trees["/it/"][1])}
+    # /de/ and /fr/ are pure, so that there is nothing to tell apart below them
+    assert trees == {"/de/": ("/de/**", "block"), "/fr/": ("/fr/**", "allow"), "/it/": ("/it/**", trees["/it/"][1])}
     empty = spark.createDataFrame([], df.schema)
     assert judge_urls(empty).collect() == []
 
 
+def plain_tree(paths, overall, z=3.0, prior=4.0):
+    """Template and purity of each (host, segments) of ``paths``: (allowed, blocked), by recursion."""
+    out = {}
+
+    def apart(b1, n1, b2, n2):
+        p, q = (b1 + 1) / (n1 + 2), (b2 + 1) / (n2 + 2)
+        return abs(p - q) > z * (p * (1 - p) / (n1 + 2) + q * (1 - q) / (n2 + 2)) ** 0.5
+
+    def walk(own, depth, template, above):
+        a, b = (sum(v[k] for v in own.values()) for k in (0, 1))
+        share = (b + prior * above) / (a + b + prior)
+        if not a or not b:
+            out.update({key: (template + ("/**" if len(key[1]) > depth else ""), share) for key in own})
+            return
+        branches = {}
+        for key, v in own.items():
+            branches.setdefault(key[1][depth] if len(key[1]) > depth else None, {})[key] = v
+        ends = branches.pop(None, {})
+        a, b = (sum(v[k] for v in ends.values()) for k in (0, 1))
+        out.update(dict.fromkeys(ends, (template, (b + prior * share) / (a + b + prior))))
+        sums = {name: [sum(v[k] for v in rows.values()) for k in (0, 1)] for name, rows in branches.items()}
+        groups, rest = [], [name for name in sums if not sum(sums[name])]
+        for pair in sorted({tuple(v) for v in sums.values() if sum(v)}, key=lambda v: (-sum(v), -v[1])):
+            # branches with equal counts are judged together
+            n, blocked, same = sum(pair), pair[1], [name for name in sums if tuple(sums[name]) == pair]
+            near = min(groups, key=lambda g: abs(g["b"] / g["n"] - blocked / n), default=None)
+            if near is None or apart(blocked, n, near["b"], near["n"]):
+                near = {"names": [], "b": 0, "n": 0}
+                groups.append(near)
+            near["names"] += same
+            near["b"] += blocked * len(same)
+            near["n"] += n * len(same)
+        if rest and len(groups) == 1:
+            groups[0]["names"] += rest
+        elif rest:
+            groups.append({"names": rest})
+        for g in groups:
+            names = sorted(g["names"])
+            step = "|".join(names[:3]) + (f"|+{len(names) - 3}" if len(names) > 3 else "")
+            walk({k: v for name in names for k, v in branches[name].items()}, depth + 1, f"{template}/{step if len(names) == 1 else f'({step})'}", share)
+
+    for host in {h for h, _ in paths}:
+        walk({k: v for k, v in paths.items() if k[0] == host}, 0, "", overall)
+    return out
+
+
+def test_url_trees_match_a_plain_tree(spark):
+    from millrace.llm.url_filter import path_templates
+
+    random = np.random.default_rng(6)
+    paths = {}
+    for h in range(12):
+        for _ in range(150):
+            segments = tuple(random.choice(list("abcdefgh"), random.integers(0, 5)))
+            rate = 0.9 if "a" in segments[1:2] or (h % 3 == 0 and "b" in segments[2:]) else 0.1
+            n = int(random.integers(0, 25)) * int(random.random() < 0.7)
+            blocked = int(random.binomial(n, rate)) if h else 0
+            paths[f"h{h}", segments] = (n - blocked, blocked)
+    df = spark.createDataFrame([(h, list(p), a, b) for (h, p), (a, b) in paths.items()], "host string, segments array<string>, allowed long, blocked long")
+    want = plain_tree(paths, 0.3)
+    got = {(r["host"], tuple(r["segments"])): (r["template"], r["purity"]) for r in path_templates(df, 0.3, 3.0, 4.0).collect()}
+    assert set(got) == set(want)
+    for key, (template, share) in want.items():
+        assert got[key] == (template, pytest.approx(share))
+    assert len({t for t, _ in want.values()}) > 40
+
+
+def test_url_branches_alike_are_merged(spark):
+    from millrace.llm.url_filter import UrlRule, judge_urls, merge_branches
+
+    assert merge_branches([(6, 54, 2), (60, 0, 2), (0, 0, 5), (0, 1, 3)], 3.0) == {(6, 54): 0, (60, 0): 1, (0, 1): 0, (0, 0): -1}
+    # twelve segments deep, and only the last tells; the list says which is which
+    deep = "/".join("abcdefghijk")
+    rules = (UrlRule("allow", "org", f"/{deep}/good/1"), UrlRule("block", "org", f"/{deep}/bad/1"))
+    urls = [f"http://x.org/{deep}/{kind}/{i}" for kind in ("good", "bad") for i in range(100)]
+    rows = [(i, u, "x") for i, u in enumerate([*urls, urls[0], "http://y.org/" + "a" * 50_000, None])]
+    df = spark.createDataFrame([*rows, (None, urls[150], "y")], "page_id long, url string, host string")
+    got = judge_urls(df, rules=rules).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        if r["host"] and len(r["path"]) < 1000:
+            assert r["verdict"] == ("allow" if "/good/" in r["path"] else "block"), r
+    assert {r["template"] for r in got if "/good/" in r["path"]} == {f"/{deep}/good/**"}
+
+
 def test_network_gradients_agree_with_differences():
     from millrace.llm.language import ByteGru, encode_passages
 
@@ -195,7 +281,7 @@ def test_reader_matches_the_whole_text():
     from millrace.llm.language import ByteGru, Reader, encode_passages
 
     model = ByteGru(["a", "b", "c"], hidden=5, others=1)
-    texts = ["", "x", "one two", "日本語" * 9, "long text " * 13, "é"]
+    texts = ["", "x", "one two", "eight by", "日本語" * 9, "long text " * 13, "é"]
     for core, together in ((7, 3), (256, 1024)):
         found = Reader(model, core, context=500, together=together).texts(texts)
         assert not found[0].any()
