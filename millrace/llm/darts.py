@@ -30,13 +30,8 @@ def _interval(cell: int, first: float) -> tuple[float, float]:
 
 def _poisson_steps(area: float) -> np.ndarray:
     """The distribution function of the number of darts in a cell."""
-    steps, term, total, n = [], np.exp(-area), 0.0, 0
-    while total < 1 - 1e-12 and n < 40 * (area + 1):
-        total += term
-        steps.append(total)
-        n += 1
-        term *= area / n
-    return np.array(steps)
+    n = np.arange(1, int(area + 12 * np.sqrt(area)) + 24)
+    return np.cumsum(np.exp(np.concatenate([[0.0], np.cumsum(np.log(area / n))]) - area))
 
 
 def _darts(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, until: np.ndarray, k: int):
@@ -45,10 +40,13 @@ def _darts(elements: np.ndarray, weights: np.ndarray, owners: np.ndarray, until:
     row = 0
     while (low := _interval(row, 1.0)[0]) < weights.max(initial=0.0):
         high = _interval(row, 1.0)[1]
-        cell = 0
-        while (begin := _interval(cell, 0.25)[0]) < until.max(initial=0.0):
-            end = _interval(cell, 0.25)[1]
-            some = np.flatnonzero((weights > low) & (until[owners] > begin))
+        # cells that are high are short, so that the first holds a quarter of a dart on average
+        cell, soonest = 0, 0.25 / (high - low)
+        heavy = weights > low
+        latest = until[owners[heavy]].max(initial=0.0)
+        while (begin := _interval(cell, soonest)[0]) < latest:
+            end = _interval(cell, soonest)[1]
+            some = np.flatnonzero(heavy & (until[owners] > begin))
             salt = mix(np.array([(row << 20) + cell + 1], dtype=np.uint64) * _ODD)[0]
             base = mix(elements[some] ^ salt)
             count = np.searchsorted(_poisson_steps((high - low) * (end - begin)), (base >> np.uint64(11)) * 2.0**-53)

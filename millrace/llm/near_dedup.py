@@ -1,6 +1,7 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-1. Documents become sets of word shingles; equal sets are one representative.
+1. Documents become weighted sets of word shingles; equal ones have one
+   representative.
 2. Signatures are cut into bands, and representatives that agree on a band
    share a bucket.
 3. Representatives whose signatures are alike form families: first through the
@@ -17,10 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import byte_slices, settle
+from millrace.llm.common import byte_slices, settle, shuffle_partitions
 from millrace.llm.components import components
 from millrace.llm.darts import mix, signatures
 
@@ -69,10 +71,22 @@ def shingle_sets(texts: list[str], words: int, known: dict | None = None) -> tup
     return hashes[place], np.diff(np.append(place, len(hashes))), owners[place]
 
 
+def repeated(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """An element for each time that a shingle occurs, told apart by their number.
+
+    The similarity of such sets is that of the weighted ones.
+    """
+    nth = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+    every = np.repeat(hashes, counts)
+    with np.errstate(over="ignore"):
+        return np.where(nth == 0, every, mix(every + nth * _BASE))
+
+
 def sketch(rows: DataFrame, words: int, bands: int, band_rows: int, weighted: bool, batch_bytes: int = 1 << 20) -> DataFrame:
-    """``doc_id, set_hash, shingles, signature, buckets`` of ``doc_id, text``.
+    """``row, doc_id, set_hash, shingles, signature, buckets`` of ``doc_id, text``.
 
-    ``set_hash`` names the shingle set, null if it is empty. ``shingles`` holds
+    ``row`` numbers the rows. ``set_hash`` names the shingle set, null if it is
+    empty; ``weighted`` sets hold a shingle as often as it occurs. ``shingles`` has
     its hashes in four bytes each, ``signature`` two bytes a coordinate.
     """
     import xxhash
@@ -80,7 +94,7 @@ def sketch(rows: DataFrame, words: int, bands: int, band_rows: int, weighted: bo
     k = bands * band_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known, row = _WordHashes(), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in byte_slices(batch, "text", batch_bytes):
                 if len(known) > 250_000:
@@ -100,20 +114,25 @@ def sketch(rows: DataFrame, words: int, bands: int, band_rows: int, weighted: bo
                     for i in range(band_rows):
                         keys = mix(keys * _BASE + names.reshape(n, bands, band_rows)[:, :, i])
                 short = (mix(names) >> np.uint64(48)).astype("<u2")
+                if weighted:
+                    cuts = np.concatenate([[0], np.cumsum(counts)])[cuts]
+                    hashes = repeated(hashes, counts)
                 sets = [hashes[a:b] for a, b in zip(cuts, cuts[1:])]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.arange(row, row + n)),
                         part.column("doc_id"),
                         pa.array(digests, pa.binary()),
                         pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
                         pa.array([short[i].tobytes() for i in range(n)], pa.binary()),
                         pa.array([keys[i].view(np.int64) if len(s) else None for i, s in enumerate(sets)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "set_hash", "shingles", "signature", "buckets"],
+                    ["row", "doc_id", "set_hash", "shingles", "signature", "buckets"],
                 )
+                row += n
 
-    return rows.mapInArrow(run, "doc_id long, set_hash binary, shingles binary, signature binary, buckets array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, set_hash binary, shingles binary, signature binary, buckets array<long>")
 
 
 # -- links inside groups of bounded size --
@@ -170,15 +189,17 @@ def resemblance(left: list[bytes], right: list[bytes], least: float) -> np.ndarr
 def _linked(rows: DataFrame, keys: list[str], alike: Callable, least: float) -> DataFrame:
     """Edges that join what is alike within each group of ``rows``.
 
-    ``rows`` has ``keys``, ``node``, ``part`` (the node's component so far),
-    ``asks`` (compared with all others of the group, which are compared with
-    nobody else) and ``payload``. Groups are bounded by those who make them.
+    ``rows`` has ``keys``, ``slot`` (the group's number among those with the same
+    first key, so that the groups of a large family go to different tasks), ``node``, ``part`` (the node's component so far),
+    ``asks`` (1: compared with all that answer, 0: answers, 2: both) and
+    ``payload``. Groups are bounded by those who make them.
     """
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
+    parts = shuffle_partitions(rows.sparkSession)
+    placed = rows.repartitionById(parts, F.pmod(F.xxhash64(keys[0]) + F.col("slot"), F.lit(parts)).cast("int")).sortWithinPartitions(*keys, "node")
 
-    def edges(names: list[int], parts: list[int], asks: list[bool], payloads: list[bytes]) -> list[tuple[int, int]]:
+    def edges(names: list[int], parts: list[int], asks: list[int], payloads: list[bytes]) -> list[tuple[int, int]]:
         left = [i for i, x in enumerate(asks) if x]
-        right = [i for i, x in enumerate(asks) if not x]
+        right = [i for i, x in enumerate(asks) if x != 1]
         forest = _Forest()
         if left and right:
             hits = alike([payloads[i] for i in left], [payloads[i] for i in right], least)
@@ -225,13 +246,14 @@ def _apart(members: DataFrame, group: str, size: int) -> DataFrame:
     facts = facts.where("parts > 1").select(group, "all", "core", (F.col("all") - F.col("most")).alias("minor"))
     rows = members.join(facts, group)
     blocks, teams = F.ceil(F.col("all") / size).cast("int"), F.ceil(F.col("minor") / size).cast("int")
+    rows = rows.withColumn("teams", teams)
     base = rows.select(
-        group, "node", "part", F.lit(False).alias("asks"), _block(F.col("all"), size, 1).alias("block"), F.explode(F.sequence(F.lit(0), teams - 1)).alias("team")
+        group, "teams", "node", "part", F.lit(0).alias("asks"), _block(F.col("all"), size, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("teams") - 1)).alias("team")
     )
     asking = rows.where("part <> core").select(
-        group, "node", "part", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), _block(F.col("minor"), size, 2).alias("team")
+        group, "teams", "node", "part", F.lit(1).alias("asks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), _block(F.col("minor"), size, 2).alias("team")
     )
-    return base.unionByName(asking)
+    return base.unionByName(asking).withColumn("slot", F.col("block").cast("long") * F.col("teams") + F.col("team")).drop("teams")
 
 
 def _parts(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -248,16 +270,16 @@ def near_classes(
     similarity: float = 0.8,
     bands: int = 32,
     band_rows: int = 5,
-    weighted: bool = False,
+    weighted: bool = True,
     alike: float = 0.55,
     block: int = 256,
 ) -> DataFrame:
     """``doc_id, class_id, class_size`` for every row of ``df``.
 
-    Documents whose sets of ``words``-word shingles have a Jaccard similarity
-    of at least ``similarity`` are linked, and linked documents form a class,
-    named by its least id. ``weighted`` draws the signatures from shingle
-    counts instead of sets. A pair at 0.8 shares none of 32 bands of 5 with
+    A document's ``words``-word shingles weigh as often as they occur in it (each
+    once, if not ``weighted``). Documents with a weighted Jaccard similarity, sum
+    of least over sum of greatest weights, of at least ``similarity`` are linked,
+    and linked documents form a class, named by its least id. A pair at 0.8 shares none of 32 bands of 5 with
     probability 3e-6; ``alike`` is the share of agreeing coordinates from which
     a pair may be in one family, 8 standard errors below 0.8.
 
@@ -270,11 +292,9 @@ def near_classes(
     drawn = settle(sketch(rows, words, bands, band_rows, weighted), "sketches")
     known = drawn.where("doc_id is not null and set_hash is not null")
 
-    # one representative for equal sets; its number names the set, as an id may have several
-    first = known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    first = settle(first.withColumn("node", F.monotonically_increasing_id()), "first")
-    reps = known.join(first, ["doc_id", "set_hash"])
-    reps = settle(reps.select("node", "signature", "buckets").dropDuplicates(["node"]), "representatives")
+    # the first row of equal sets stands for all of them
+    first = settle(known.groupBy("set_hash").agg(F.min("row").alias("node")), "first")
+    reps = settle(known.select(F.col("row").alias("node"), "signature", "buckets").join(first.select("node").hint("merge"), "node"), "representatives")
     # ids with several sets, or with and without words, and the least of their sets
     mark = F.when(F.col("set_hash").isNotNull(), F.xxhash64("set_hash"))
     twins = drawn.where("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count("*").alias("n"), F.count("set_hash").alias("full"))
@@ -293,30 +313,26 @@ def near_classes(
     # families through all other pairs of buckets that hold several
     members = _parts(entries.select("bucket", "node"), families)
     crossed = settle(_apart(members, "bucket", block), "crossed").join(reps.select("node", F.col("signature").alias("payload")), "node")
-    more = _linked(crossed, ["bucket", "block", "team"], agreement, alike)
+    more = settle(_linked(crossed, ["bucket", "block", "team"], agreement, alike), "bucket-edges")
     families = components(_star_edges(families).unionByName(more))
 
-    # exact links inside families
+    # exact links inside families: the sets of their members, moved once to where they are compared
     sizes = families.groupBy("component").agg(F.count("*").alias("n"))
     own = families.join(sizes, "component").select(F.col("component").alias("family"), "node", "n").withColumn("block", _block(F.col("n"), block, 3))
     own = settle(own, "families")
-    wanted = settle(first.join(own.select("node"), "node", "left_semi"), "wanted")
-    sets = known.select("doc_id", "set_hash", F.col("shingles").alias("payload")).join(wanted, ["doc_id", "set_hash"])
-    sets = settle(sets.select("node", "payload").dropDuplicates(["node"]), "sets")
-    base = own.select("family", "block", "node", F.col("node").alias("part"), F.lit(False).alias("asks"))
-    itself = base.withColumn("asks", F.lit(True))
-    spread = own.where("block = 0 and n > %d" % block).select(
-        "family", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int") - 1)).alias("block"), "node", F.col("node").alias("part"), F.lit(True).alias("asks")
-    )
-    near = _linked(base.unionByName(itself).unionByName(spread).join(sets, "node"), ["family", "block"], resemblance, similarity)
-    classes = components(settle(near, "links"))
+    sets = known.select(F.col("row").alias("node"), F.col("shingles").alias("payload")).join(own.hint("merge"), "node")
+    sets = settle(sets, "sets")
+    base = sets.select("family", "block", "node", F.col("node").alias("part"), F.lit(2).alias("asks"), "payload")
+    later = F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int") - 1))
+    spread = sets.where(f"block = 0 and n > {block}").select("family", later.alias("block"), "node", F.col("node").alias("part"), F.lit(1).alias("asks"), "payload")
+    classes = components(settle(_linked(base.unionByName(spread).withColumn("slot", F.col("block").cast("long")), ["family", "block"], resemblance, similarity), "links"))
 
     # what is still apart in families of several blocks
-    large = _parts(own.where("n > %d" % block).select("family", "node"), classes)
-    apart = settle(_apart(large, "family", block), "apart").join(sets, "node")
-    rest = _linked(apart, ["family", "block", "team"], resemblance, similarity)
+    large = _parts(own.where(f"n > {block}").select("family", "node"), classes)
+    apart = settle(_apart(large, "family", block), "apart").join(sets.where(f"n > {block}").select("node", "payload"), "node")
+    rest = settle(_linked(apart, ["family", "block", "team"], resemblance, similarity), "late-links")
     # all sets of one id
-    nodes = first.select("set_hash", "node")
+    nodes = first
     same = known.select("doc_id", "set_hash").join(twins, "doc_id").where("set_hash <> least").select("set_hash", "least").distinct()
     same = same.join(nodes.withColumnRenamed("node", "u"), "set_hash").join(nodes.select(F.col("set_hash").alias("least"), F.col("node").alias("v")), "least")
     classes = components(_star_edges(classes).unionByName(rest).unionByName(same.select("u", "v")))
@@ -354,8 +370,13 @@ def _alike_pairs(pairs: DataFrame, least: float) -> DataFrame:
 def drop_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``df`` with one document of each class, the one with the least id; same columns.
 
-    Rows without an id stay, and so do repeated rows of a document that stays.
+    Columns may have any names. Rows without an id stay, and so do repeated rows
+    of a document that stays. Null and empty texts are alike to nothing. An empty
+    table gives an empty one.
     """
+    columns = df.columns
     classes = near_classes(df, id, text, **settings)
-    gone = classes.where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id).cast("long") == F.col("__gone"), "left_anti")
+    gone = classes.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
+    marked = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    kept = marked.join(gone, F.col(f"c{columns.index(id)}").cast("long") == F.col("doc_id"), "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

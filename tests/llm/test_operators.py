@@ -414,6 +414,39 @@ def test_near_classes_match_brute_force(spark, odd, empty):
     assert near_classes(empty).collect() == []
 
 
+def test_near_classes_weigh_repeated_shingles(spark):
+    from collections import Counter
+
+    from millrace.llm.near_dedup import near_classes
+
+    random = np.random.default_rng(7)
+    docs = {}
+    for _ in range(12):
+        lines = [" ".join(f"w{x}" for x in random.integers(0, 300, 8)) for _ in range(12)]
+        for _ in range(8):
+            times = random.integers(1, 4, 12) if random.random() < 0.3 else np.ones(12, int)
+            if random.random() < 0.5:
+                times[random.integers(0, 12)] = random.choice([1, 2, 30])
+            docs[len(docs)] = " ".join(line for line, n in zip(lines, times) for _ in range(n))
+    docs |= {len(docs) + i: " ".join(["same"] * n) for i, n in enumerate((3, 400, 399, 330, 300))}
+    bags = {i: Counter(tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))) for i, t in docs.items()}
+    parent = {i: i for i in docs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in docs:
+        for j in range(i):
+            if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(df).collect()}
+    assert got == {i: root(i) for i in docs} and 10 < len(set(got.values())) < len(docs) - 20
+
+
 def test_near_classes_join_all_texts_of_an_id(spark):
     from millrace.llm.near_dedup import drop_near_copies, near_classes
 
