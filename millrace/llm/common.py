@@ -21,25 +21,50 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is
-    set for the session.
+    Only in local mode, where driver and workers are one machine, a temporary
+    folder is set for the session if none is named.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``settle`` made and ``sweep`` has not removed, in order.
+_made: list[str] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here."""
     spark = df.sparkSession
     path = shared_folder(spark, label)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled() -> int:
+    """How many settled tables there are: a mark for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Remove the tables settled after the mark ``since``, but the last ``keep``.
+
+    For a caller whose result is settled itself, so that nothing reads them any more.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _made[since : len(_made) - keep]
+    for path in gone:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _made.remove(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
