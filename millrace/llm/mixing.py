@@ -2,7 +2,9 @@
 
 Each source is clamped at a number of epochs, the excess weight goes to the
 others in proportion until no target is above its cap, and documents are drawn
-in a seeded order as whole repetitions plus one fractional repetition.
+in a seeded order as whole repetitions plus one fractional repetition: of each
+source the documents whose rank is below a cut are taken once more. The cut is
+found from the sizes of 4096 ranges of ranks, and then inside one of them.
 """
 
 from __future__ import annotations
@@ -43,57 +45,48 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     return sources.withColumn("target", F.when(over, cap).otherwise(F.col("weight") * F.lit(0.0 if level is None else level)).cast("double"))
 
 
-def _keyed(df: DataFrame, id: str, text: str, source: str, seed: str) -> DataFrame:
-    """``df`` with its size, its source's key, its seeded rank and bucket."""
-    rank = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id).cast("string"), F.lit(""))))
-    return df.select(
-        "*",
-        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("__source_key"),
-        word_count(F.col(text)).alias("__size"),
-        F.xxhash64(F.col(text)).alias("__text_hash"),
-        rank.alias("__rank"),
-        F.substring(rank, 1, _BUCKET_DIGITS).alias("__bucket"),
-    )
-
-
-def _plan(rows: DataFrame, source: str, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
-    """What each bucket of each source needs to know: 4096 rows a source at most."""
-    buckets = rows.groupBy("__source_key", "__bucket").agg(F.first(source).alias("source"), F.sum("__size").alias("bucket_size"))
-    buckets = settle(buckets, "mix-buckets")
-    # one row a source: its place gives the weight
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    sources = buckets.groupBy("__source_key").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
-    sources = settle(sources.withColumn("weight", weight).drop("source"), "mix-sources")
+def _sized(df: DataFrame, id: Column, text: Column, source: Column, seed: str) -> DataFrame:
+    """``df`` with ``source_key``, ``size``, and the seeded ``rank`` of id and text."""
+    rank = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+    return df.select("*", F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("source_key"), word_count(text).alias("size"), rank.alias("rank"))
+
+
+def mixing_plan(rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """What each source's documents need to know, one row a source.
+
+    ``rows`` has ``source_key, size, rank``. ``whole`` repetitions of every
+    document; one more of those whose rank is below ``cut``; of the ``copies`` rows
+    of rank ``cut``, all alike, ``rest`` words together.
+    """
+    bucket = F.substring("rank", 1, _BUCKET_DIGITS)
+    buckets = settle(rows.groupBy("source_key", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
+    # one row a source: its place gives the weight, null last
+    order = Window.orderBy(F.col("source_key") == "n", "source_key")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    sources = settle(buckets.groupBy("source_key").agg(F.sum("words").alias("source_size")).withColumn("weight", weight), "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     plan = water_fill(sources, share * total, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = plan.withColumn("whole", whole.cast("long"))
-    plan = plan.withColumn("missing", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    before = Window.partitionBy("__source_key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("bucket_size").over(before), F.lit(0))
-    return (
-        buckets.select("__source_key", "__bucket", offset.alias("__offset"))
-        .join(plan, "__source_key")
-        .select(
-            "__source_key",
-            "__bucket",
-            "__offset",
-            F.col("source_size").alias("__source_size"),
-            F.col("target").alias("__target"),
-            F.col("whole").alias("__whole"),
-            F.col("missing").alias("__missing"),
-        )
-    )
-
-
-def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds ``__taken``; one shuffle by source and bucket, which no hot source skews."""
-    inside = Window.partitionBy("__source_key", "__bucket").orderBy("__rank", "__size", "__text_hash")
-    ahead = F.coalesce(F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = rows.withColumn("__ahead", ahead).join(plan, ["__source_key", "__bucket"])
-    part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__missing") - F.col("__offset") - F.col("__ahead")))
-    return joined.withColumn("__taken", F.col("__whole") * F.col("__size") + part)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = plan.withColumn("whole", whole).withColumn("missing", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    plan = settle(plan.drop("weight"), "mix-targets")
+
+    def reached(groups: DataFrame, by: str) -> DataFrame:
+        """The one group of each source in which its missing words end."""
+        own = Window.partitionBy("source_key").orderBy(by)
+        ahead = F.coalesce(F.sum("words").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = groups.join(plan.select("source_key", "missing"), "source_key").withColumn("ahead", ahead)
+        return placed.where("ahead <= missing and missing < ahead + words").drop("words")
+
+    ends = reached(buckets, "bucket").select("source_key", "bucket", F.col("ahead").alias("before"))
+    inside = rows.withColumn("bucket", bucket).join(ends, ["source_key", "bucket"]).where("size > 0")
+    alike = inside.groupBy("source_key", "rank").agg(F.first("before").alias("before"), F.count("*").alias("copies"), F.sum("size").alias("words"))
+    first = Window.partitionBy("source_key").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.join(plan.select("source_key", "missing"), "source_key").withColumn("ahead", F.col("before") + F.coalesce(F.sum("words").over(first), F.lit(0)))
+    cuts = alike.where("ahead <= missing and missing < ahead + words").select("source_key", F.col("rank").alias("cut"), "copies", (F.col("missing") - F.col("ahead")).alias("rest"))
+    # without a cut the missing words are none or all
+    none = F.when(F.col("missing") >= F.col("source_size"), F.lit("g")).otherwise(F.lit(""))
+    out = plan.join(cuts, "source_key", "left").withColumn("cut", F.coalesce("cut", none))
+    return settle(out.select("source_key", "source_size", "target", "whole", "cut", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("rest", F.lit(0)).alias("rest")), "mix-plan")
 
 
 def mix(
@@ -111,23 +104,19 @@ def mix(
     Sources in code-point order, null last, take ``weights`` in turn. Every
     document is repeated as often as its whole source fits into the target; the
     words still missing come from the documents in seeded order, the last of
-    them in part, so that each source meets its target to the word. A null text
-    has no words; a source without words has target 0; repeated rows count
-    each; rows without an id share one rank. An empty table gives an empty
-    result. Reruns agree: the order is a hash of seed and id, ties by size and
-    text.
+    them in part, so that each source meets its target to the word. Rows that
+    repeat id and text are alike: where the missing words end among them, each
+    gives the same part, rounded down. A null text has no words; a source
+    without words has target 0; rows without an id are ordered by their text.
+    Very long texts count whole. Other columns are not read. An empty table
+    gives an empty result. Reruns agree: the order is a hash of seed, id and text.
     """
     rows = df.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    rows = settle(_keyed(rows, "doc_id", "text", "source", seed).drop("text"), "mix-rows")
-    out = _taken(rows, _plan(rows, "source", weights, share, max_epochs))
-    return out.select(
-        "doc_id",
-        "source",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        F.col("__taken").alias("taken"),
-    )
+    rows = settle(_sized(rows, F.col("doc_id"), F.col("text"), F.col("source"), seed).drop("text"), "mix-rows")
+    joined = rows.join(mixing_plan(rows, weights, share, max_epochs), "source_key")
+    part = F.when(F.col("rank") < F.col("cut"), F.col("size")).when(F.col("rank") == F.col("cut"), F.floor(F.col("rest") / F.col("copies"))).otherwise(0)
+    taken = (F.col("whole") * F.col("size") + part).cast("long")
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(
@@ -140,22 +129,25 @@ def mixed_documents(
     max_epochs: float = 2.0,
     seed: str = "mix-1",
 ) -> DataFrame:
-    """The documents that ``mix`` takes, once for each repetition; same columns.
-
-    A fractional repetition holds the leading words of its text, and its length
-    in a column ``n_chars``, if there is one. Documents of which nothing is
-    taken go.
+    """The documents that ``mix`` takes, whole, once for each repetition; same columns.
+
+    Columns may have any names. The document in which a source's missing words
+    end is taken or left, whichever comes nearer to the target; of rows that
+    repeat its id and text, as many as come near, chosen by where they lie. A
+    text without words is in no repetition, so a null or empty text goes, as do
+    documents that are not taken. An empty table gives an empty one. The plan, a
+    row for each source, is joined to the texts, which are shuffled only where it
+    is too large to broadcast.
     """
-    plan = settle(_plan(_keyed(df, id, text, source, seed), source, weights, share, max_epochs), "mix-plan")
-    rows = _taken(_keyed(df, id, text, source, seed), plan)
-    full = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
-    rest = (F.col("__taken") - full * F.col("__size")).cast("int")
-    # -1: the whole text; a count: so many leading words
-    repeats = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("__words", F.explode(repeats))
-    ends = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    head = F.array_join(F.slice(ends, F.lit(1), F.greatest(F.col("__words"), F.lit(1))), "")
-    rows = rows.withColumn(text, F.when(F.col("__words") < 0, F.col(text)).otherwise(head))
-    if "n_chars" in df.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.char_length(text)))
-    return rows.select(*df.columns)
+    columns = df.columns
+    marked = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    at = [F.col(f"c{columns.index(c)}") for c in (id, text, source)]
+    rows = _sized(marked, *at, seed)
+    plan = mixing_plan(settle(rows.select("source_key", "size", "rank"), "mix-rows"), weights, share, max_epochs)
+    rows = rows.withColumn("chance", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)).join(plan, "source_key")
+    shared = F.col("rest") / (F.col("size") * F.col("copies"))
+    more = F.col("rank") < F.col("cut")
+    more = more | ((F.col("rank") == F.col("cut")) & F.when(F.col("copies") == 1, shared >= 0.5).otherwise(F.col("chance") < shared))
+    times = F.col("whole").cast("int") + more.cast("int")
+    rows = rows.where("size > 0").withColumn("turn", F.explode(F.array_repeat(F.lit(1), times)))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

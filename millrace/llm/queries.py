@@ -17,25 +17,44 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.secret_scan import find_secrets
-
-    return find_secrets(read_table(spark, sf_dir, "documents"))
+    from millrace.llm.secret_scan import BASE_RULES, MORE_RULES, find_secrets
+
+    return find_secrets(read_table(spark, sf_dir, "documents"), rules=(*BASE_RULES, *MORE_RULES), base=len(BASE_RULES))
+
+
+#: Kind, pattern, group and least length of every rule, in their order.
+_OP2_RULES = (
+    (
+        "assign",
+        r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+        r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        12,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("private", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("github", "github_pat_[A-Za-z0-9_]{22,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("stripe", "sk_live_[A-Za-z0-9]{24,}", 0, 1),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+)
 
 
-#: One scan for each kind: what lies between the matches gives their places.
-OP2_SQL = r"""
+def _op2_sql() -> str:
+    """One scan for each kind: what lies between the matches gives their places."""
+    scans = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {i} AS place, {least} AS least, regexp_extract_all(text, '{p}', 0) AS whole, "
+        f"regexp_extract_all(text, '{p}', {group}) AS part, regexp_split_to_array(text, '{p}') AS gaps FROM d"
+        for i, (kind, p, group, least) in enumerate(_OP2_RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in _OP2_RULES)
+    named = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in _OP2_RULES)
+    listed = "string_agg(kind || ':' || (stop - width) || ':' || stop, ',' ORDER BY stop - width, place)"
+    return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-rules(kind, place, least) AS (VALUES ('assign', 1, 12), ('access', 2, 18), ('hex', 3, 16)
-), m AS (
-  SELECT doc_id, kind, place, least,
-    CASE place
-      WHEN 1 THEN regexp_extract_all(text, '{assign}', 0) WHEN 2 THEN regexp_extract_all(text, '{access}', 0) ELSE regexp_extract_all(text, '{hex}', 0) END AS whole,
-    CASE place
-      WHEN 1 THEN regexp_extract_all(text, '{assign}', 2) WHEN 2 THEN regexp_extract_all(text, '{access}', 0) ELSE regexp_extract_all(text, '{hex}', 0) END AS part,
-    CASE place
-      WHEN 1 THEN regexp_split_to_array(text, '{assign}') WHEN 2 THEN regexp_split_to_array(text, '{access}') ELSE regexp_split_to_array(text, '{hex}') END AS gaps
-  FROM d CROSS JOIN rules
-), u AS (
+m AS ({scans}),
+u AS (
   SELECT doc_id, kind, place, least, unnest(whole) AS w, unnest(part) AS v, unnest(gaps[1:len(whole)]) AS g, unnest(range(1, len(whole) + 1)) AS i
   FROM m WHERE len(whole) > 0
 ), s AS (
@@ -43,19 +62,15 @@ rules(kind, place, least) AS (VALUES ('assign', 1, 12), ('access', 2, 18), ('hex
     CAST(sum(len(g) + len(w)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop, len(w) AS width
   FROM u
 ), k AS (
-  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-    string_agg(kind || ':' || (stop - width) || ':' || stop, ',' ORDER BY stop - width, place) AS spans
+  SELECT doc_id, {counts}, {listed} FILTER (place < 3) AS base, {listed} AS spans
   FROM s WHERE size >= least GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, {named}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
-_ASSIGN = (
-    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
-    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-)
-OP2_SQL = OP2_SQL.replace("{assign}", _ASSIGN).replace("{access}", "AKIA[A-Z0-9]+").replace("{hex}", "[0-9a-f]+")
+
+
+OP2_SQL = _op2_sql()
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +137,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rank
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS rank
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -142,14 +157,20 @@ WITH d AS (
   SELECT source, source_size,
          least(CAST(2 * source_size AS DOUBLE), weight * (SELECT level FROM l)) AS target
   FROM s
+), r AS (
+  -- rows that repeat id and text share a rank
+  SELECT source, rank, count(*) AS copies, sum(size) AS words FROM d GROUP BY source, rank
+), a AS (
+  SELECT *, CAST(coalesce(sum(words) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM r
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, a.copies, a.words,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
-         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+         CAST(round(t.target - whole * t.source_size) AS BIGINT) - a.ahead AS rest
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  JOIN a ON d.source IS NOT DISTINCT FROM a.source AND d.rank = a.rank
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(whole * size + greatest(0, least(size, CAST(round(target - whole * source_size) AS BIGINT) - ahead)) AS BIGINT) AS taken
+       CAST(whole * size + CASE WHEN rest >= words THEN size WHEN rest > 0 THEN rest // copies ELSE 0 END AS BIGINT) AS taken
 FROM p
 """
 

@@ -46,6 +46,15 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 
+#: Published formats of keys, which the index finds without reading other texts. Fixed values.
+MORE_RULES = (
+    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("stripe", r"sk_live_[A-Za-z0-9]{24,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+)
+
 # -- Boolean queries over trigrams: None (anything), a trigram, ("and" | "or", parts) --
 
 

@@ -84,6 +84,14 @@ def test_secrets_match_python(spark, empty):
         assert r["spans"] == joined
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
+    # rows without an id, and further kinds: base columns stay as they are
+    from millrace.llm.secret_scan import MORE_RULES
+
+    more = [("private", "-----BEGIN RSA PRIVATE KEY-----"), ("github", "github_pat_" + "Z9" * 11), ("slack", "xoxb-0123456789-abc"), ("stripe", "sk_live_" + "Z" * 24), ("google", "AIza" + "Y" * 35)]
+    odd = spark.createDataFrame([(None, f"x {t} y") for _, t in more] + [(None, "token: abcdefghijkl")] * 2, "doc_id long, text string")
+    found = sorted((r["spans"], r["n_assign"]) for r in find_secrets(odd, rules=(*BASE_RULES, *MORE_RULES)).collect())
+    assert found == sorted([(f"{kind}:2:{2 + len(t)}", 0) for kind, t in more] + [("assign:0:19", 1)] * 2)
+    assert all(trigram_query(r.pattern) is not None for r in MORE_RULES)
     assert trigram_query(BASE_RULES[2].pattern) is None
     assert trigram_query("ab(cde|f)+g?") is None and trigram_query("ab(cde)+g?") == "cde"
     assert trigram_query("abcd(efg|hij)") == ("and", "abc", "bcd", ("or", "efg", "hij"))
@@ -119,6 +127,28 @@ def test_groups_over_partition_edges(spark):
     assert len(copies) == 300 and {r["keep_id"] for r in copies} == {399} and sum(r["kept"] for r in got) == 101
 
 
+def test_long_common_openings_and_hot_groups(spark):
+    from millrace.llm.exact_dedup import drop_exact_copies, exact_groups
+
+    # all texts open alike for 3000 characters; half of the rows are one text, some without any id
+    start = "Same opening. " * 215
+    rows = [(i, start + (f"{i % 97}" if i % 2 else "Hot")) for i in range(1200)] + [(None, start + "none")] * 300 + [(7, start + "hot")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = {}
+    for i, t in rows:
+        want.setdefault(t.lower(), []).append(i)
+    for keep, best in (("largest", max), ("smallest", min)):
+        got = exact_groups(df, keep=keep).collect()
+        assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(want)
+        by = {hashlib.sha256("".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode()).hexdigest(): ids for t, ids in want.items()}
+        for r in got:
+            ids = by[r["text_sha256"]]
+            assert r["group_size"] == len(ids) and r["keep_id"] == best((i for i in ids if i is not None), default=None)
+        kept = drop_exact_copies(df, keep=keep).collect()
+        assert sorted((r["text"].lower(), r["doc_id"]) for r in kept if r["doc_id"] is not None) == sorted((t, best(i for i in ids)) for t, ids in want.items() if ids[0] is not None)
+        assert len(kept) == len(want)
+
+
 def test_token_counts(odd, empty):
     import sentencepiece
 
@@ -508,10 +538,33 @@ def test_mix_meets_its_targets(spark, odd, empty):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mix(df.repartition(7)).collect()), key=repr)
     taken = mixed_documents(df)
     assert taken.columns == df.columns
-    assert sum(len(r["text"].split()) for r in taken.collect()) == sum(r["taken"] for r in got)
+    words = {}
+    for r in taken.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+        assert r["text"] in (" ".join(["w"] * (r["doc_id"] % 37)),)  # whole, never a prefix
+    assert all(abs(words[s] - own[0]["target"]) <= 18 for s, own in by.items())
     assert mix(odd).count() == odd.count() and mix(empty).collect() == [] and mixed_documents(empty).collect() == []
 
 
+def test_mix_of_rows_without_ids(spark):
+    from millrace.llm.mixing import mix, mixed_documents
+
+    # different texts without an id are ordered by text; rows that repeat id and text share what is left
+    rows = [(None, f"w{i} " * (1 + i % 9), "a") for i in range(300)] + [(5, "one two three four", "b")] * 400 + [(6, "x y", "c")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df).collect()
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], abs=len(own) if source != "a" else 1)
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mix(df.repartition(5)).collect()), key=repr)
+    words = {}
+    for r in mixed_documents(df).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    targets = {r["source"]: r["target"] for r in got}
+    assert all(words[s] == pytest.approx(t, rel=0.1, abs=9) for s, t in targets.items())
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
