@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalise_label(label: Column) -> Column:
@@ -25,10 +27,24 @@ def missing_reason(label: Column) -> Column:
     return F.when(~substantive & unknown, "unknown").when(~substantive & text.contains("refused"), "refused").when(~substantive & blank, "blank")
 
 
+@F.pandas_udf(T.StringType())
+def fifteen_digits(value: pd.Series) -> pd.Series:
+    """15 significant digits of the exact value, no zeros at the end, scientific below 1e-4 and from 1e15 on.
+
+    Built-in functions round the shortest decimal form, and so a few ties wrongly.
+    """
+    return value.map(lambda x: None if pd.isna(x) else format(x, ".15g"))
+
+
 def canonical_number(value: Column) -> Column:
-    """Whole numbers without a point, others as they are, ``<MISSING>`` for null."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    return F.coalesce(F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string")), F.lit("<MISSING>"))
+    """Whole numbers without a point, others with 15 digits, ``<MISSING>`` for null and NaN.
+
+    For distinct values: all of them pass through Arrow.
+    """
+    number = value.cast("double")
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    known = number.isNotNull() & ~F.isnan(number)
+    return F.when(~known, "<MISSING>").when(whole, number.cast("bigint").cast("string")).otherwise(fifteen_digits(number))
 
 
 def slug(text: Column) -> Column:

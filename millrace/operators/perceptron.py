@@ -16,9 +16,9 @@ from millrace.functions.scalars import sampling_order
 class Perceptron:
     """Hidden ReLU layers, one sigmoid output, cross-entropy plus half l2 on weights."""
 
-    def __init__(self, hidden: tuple[int, ...] = (64, 32), rate: float = 1e-3, l2: float = 1e-4, batch: int = 256, epochs: int = 30, patience: int = 5, seed: int = 0):
+    def __init__(self, hidden: tuple[int, ...] = (64, 32), rate: float = 1e-3, l2: float = 1e-4, batch: int = 256, epochs: int = 30, patience: int = 5, seed: int = 0, min_delta: float = 0.0):
         self.hidden, self.rate, self.l2, self.batch = hidden, rate, l2, batch
-        self.epochs, self.patience, self.seed = epochs, patience, seed
+        self.epochs, self.patience, self.seed, self.min_delta = epochs, patience, seed, min_delta
         self.weights: list[np.ndarray] = []
         self.biases: list[np.ndarray] = []
 
@@ -56,10 +56,14 @@ class Perceptron:
         return weights + biases
 
     def fit(self, x: np.ndarray, y: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None, progress: Callable[[dict], None] | None = None) -> "Perceptron":
-        """Stops early on held rows and goes back to the best weights; ``progress`` gets the losses of each epoch."""
+        """Stops early on held rows and goes back to the best weights; ``progress`` gets the losses of each epoch.
+
+        An epoch counts as better for stopping if it gains more than ``min_delta``.
+        A loss that is not finite is an error.
+        """
         self.start(x, y)
         random = np.random.default_rng(self.seed + 1)
-        first, second, step, best, waited = None, None, 0, None, 0
+        first, second, step, best, waited, mark = None, None, 0, None, 0, np.inf
         for epoch in range(self.epochs):
             order = random.permutation(len(x))
             for i in range(0, len(x), self.batch):
@@ -70,11 +74,16 @@ class Perceptron:
                 for p, a, b in zip([*self.weights, *self.biases], first, second):
                     p -= self.rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
             now = self.loss(*held, penalty=False) if held else None
+            own = self.loss(x, y)
+            if not np.isfinite(own) or (held and not np.isfinite(now)):
+                raise FloatingPointError("the loss is not finite")
             if progress:
-                progress({"epoch": epoch + 1, "training_loss": self.loss(x, y), "held_loss": now})
+                progress({"epoch": epoch + 1, "training_loss": own, "held_loss": now})
             if held:
                 if best is None or now < best[0]:
-                    best, waited = (now, [p.copy() for p in (*self.weights, *self.biases)]), 0
+                    best = (now, [p.copy() for p in (*self.weights, *self.biases)])
+                if now < mark - self.min_delta:
+                    mark, waited = now, 0
                 elif (waited := waited + 1) >= self.patience:
                     break
         if best:

@@ -278,3 +278,34 @@ def test_codebook(spark, tmp_path):
     assert "| ordinal | 1 |" in codebook.summary(table)
     with pytest.raises(ValueError, match="repeated"):
         codebook.check_entries([entry, entry])
+
+
+def test_codebook_dash_and_notes():
+    # a dash counts as a figure, so such a code has no label of its own
+    page = PAGE.replace("5          24,000", "5          -          24,000")
+    values = codebook.parse_codebook(page)["GENHLTH"]["documented_values"]
+    assert {"code": "5", "label": codebook.OMITTED} in values
+    # columns end at the page's edge, and the first description counts
+    two = codebook.parse_codebook(PAGE + "\f" + PAGE.replace("in general", "otherwise"))["GENHLTH"]
+    assert "in general" in two["description"] and two["codebook_pages"] == [1, 2]
+
+
+def test_network_stops_and_refuses_odd_losses():
+    from millrace.operators.perceptron import Perceptron
+
+    random = np.random.default_rng(0)
+    x = random.normal(size=(200, 3))
+    y = (x[:, 0] > 0).astype(float)
+    seen = []
+    Perceptron((4,), epochs=40, patience=3, min_delta=10.0).fit(x, y, (x, y), seen.append)
+    assert len(seen) == 4  # the first epoch gains from infinity, three do not gain enough
+    with pytest.raises(FloatingPointError):
+        Perceptron((4,), epochs=2).fit(np.where(x > 2, np.inf, x), y)
+
+
+def test_row_samples_need_a_key(spark):
+    from millrace.operators.boosting import Booster, Settings
+
+    df = spark.range(50).selectExpr("cast(id as double) as x", "cast(id % 2 as int) as y")
+    with pytest.raises(ValueError, match="key"):
+        Booster(["x"], Settings(trees=1, min_leaf=1, subsample=0.5)).fit(df, "y")
