@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.folders import written
+
 
 def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
     """Adds inclusive running sums: new column by summed column.
@@ -14,7 +16,8 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -
     partition.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist()
+    # written, so that both reads see the same ranges, also after an executor was lost
+    placed = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     sums = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__sum_{c}") for c in totals.values()])
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("__part", *[F.coalesce(F.sum(f"__sum_{c}").over(ahead), F.lit(0)).alias(f"__before_{c}") for c in totals.values()])

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -20,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.folders import scratch
 from millrace.functions.quantiles import quantiles
 from millrace.functions.scalars import sigmoid
+from millrace.operators.cleaning import distinct_counts
 
 MISSING = 255
 #: bins that a categorical column can have, as 255 is for missing
@@ -89,7 +90,7 @@ def fit_edges(df: DataFrame, columns: list[str], settings: Settings) -> tuple[li
     inner = np.linspace(0, 1, settings.bins + 1)[1:-1]
     sets = [c for c in columns if c in settings.categorical]
     wanted = [c for c in columns if c not in sets and (c in settings.exact or settings.exact_low)]
-    distinct = df.agg(*[F.count_distinct(c).alias(c) for c in [*wanted, *sets]]).first() if wanted or sets else {}
+    distinct = distinct_counts(df, {c: F.col(c) for c in [*wanted, *sets]})
     if too_many := [c for c in sets if distinct[c] > MOST_LEVELS]:
         raise ValueError(f"more than {MOST_LEVELS} levels: {too_many}")
     exact = [c for c in wanted if distinct[c] <= settings.bins]
@@ -172,8 +173,8 @@ class Booster:
         """Fit all trees; ``callback`` gets the model at each of ``checkpoints``.
 
         ``folder`` is shared by all executors; unset, the session's checkpoint
-        folder or, in tests, a temporary one. ``key`` (a unique integer) makes
-        row samples independent of the layout of the table.
+        folder or, in local mode, a temporary one. ``key`` (a unique integer) makes
+        row samples independent of the layout of the table, and they need it.
         """
         s = self.settings
         self.edges, self.exact = fit_edges(df, self.columns, s)
@@ -201,8 +202,9 @@ class Booster:
 
     def _grow(self, df: DataFrame, label: str, more: int, folder: str | None, key: str | None, checkpoints: tuple[int, ...], callback: Callable | None) -> "Booster":
         s, spark = self.settings, df.sparkSession
-        folder = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-        folder = f"{folder.rstrip('/')}/boosting-{uuid.uuid4().hex}"
+        if s.subsample < 1 and key is None:
+            raise ValueError("row samples need a key, so that they do not depend on the layout of the table")
+        folder = f"{folder.rstrip('/')}/boosting-{uuid.uuid4().hex}" if folder else scratch(spark, "boosting")
         random = np.random.default_rng()
         random.bit_generator.state = self.state
         marked = df.select(F.col(label).alias("y"), (F.col(key).cast("long") if key else F.monotonically_increasing_id()).alias("rid"), *self.columns)
@@ -268,8 +270,9 @@ class Booster:
 
         parts = rows.select("y", "bins", "score").mapInArrow(run, "i long, c double, g double, h double")
         out = np.zeros((int(np.prod(shape[:3])), 3))
-        for r in parts.groupBy("i").agg(F.sum("c").alias("c"), F.sum("g").alias("g"), F.sum("h").alias("h")).toLocalIterator():
-            out[r["i"]] = (r["c"], r["g"], r["h"])
+        # a row for each bin that is not empty, in one job
+        found = parts.groupBy("i").agg(F.sum("c").alias("c"), F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        out[found.column("i").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in "cgh"])
         return out.reshape(shape)
 
     def _draw(self, random: np.random.Generator) -> np.ndarray:

@@ -92,9 +92,34 @@ def missing_flags(df: DataFrame, states: list[Filled], least_share: float) -> di
     return {f"{s.name}__missing": F.col(s.name).isNull().cast("int") for s in states if s.missing_share >= least_share and s.missing_share > 0}
 
 
+def distinct_counts(df: DataFrame, columns: dict[str, Column]) -> dict[str, int]:
+    """Distinct values of each column, without null; cells are reduced before any shuffle.
+
+    One aggregation over (column, value), so that wide tables are not repeated
+    once a column.
+    """
+    if not columns:
+        return {}
+    names = list(columns)
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), columns[n].cast("string").alias("v")) for i, n in enumerate(names)]))).where("v is not null")
+    found = {r["i"]: r["n"] for r in cells.distinct().groupBy("i").agg(F.count("*").alias("n")).collect()}
+    return {n: found.get(i, 0) for i, n in enumerate(names)}
+
+
+def vocabularies(df: DataFrame, columns: dict[str, Column], most: int = 10_000) -> dict[str, list]:
+    """The values of each column, sorted, in one row; more than ``most`` are an error."""
+    counts = distinct_counts(df, columns)
+    if too_many := [n for n, k in counts.items() if k > most]:
+        raise ValueError(f"more than {most} values: {too_many}")
+    if not columns:
+        return {}
+    row = df.agg(*[F.array_sort(F.collect_set(x)).alias(f"v{i}") for i, x in enumerate(columns.values())]).first()
+    return {n: list(row[i]) for i, n in enumerate(columns)}
+
+
 def categories(df: DataFrame, column: str) -> list:
-    """The training vocabulary, sorted; one value a row comes back."""
-    return df.agg(F.array_sort(F.collect_set(column)).alias("v")).first()["v"]
+    """The training vocabulary, sorted."""
+    return vocabularies(df, {column: F.col(column)})[column]
 
 
 def one_hot(column: str, values: list, mode: str, own: Column | None = None) -> dict[str, Column]:

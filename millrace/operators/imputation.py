@@ -19,6 +19,7 @@ from millrace.functions.ordered import running_totals
 from millrace.functions.quantiles import quantiles
 from millrace.functions.scalars import round_half_even
 from millrace.operators import linear
+from millrace.operators.cleaning import distinct_counts
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ def response_codes(missing: dict[float, str], special: list[dict]) -> dict[str,
 
 def fit_anchor_bins(df: DataFrame, columns: dict[str, Column], most: int) -> dict[str, Column]:
     """Bins of each column: 0 for null or unseen; each value if few, else quantiles."""
-    counts = df.agg(*[F.count_distinct(x).alias(n) for n, x in columns.items()]).first()
+    counts = distinct_counts(df, columns)
     few = [F.array_sort(F.collect_set(x)).alias(n) for n, x in columns.items() if counts[n] <= most]
     row = df.agg(*few).first().asDict() if few else {}
     inner = [float(q) for q in np.linspace(0, 1, most + 1)[1:-1]]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.quantiles import medians, quantiles
-from millrace.operators.cleaning import Codes, binary_mapping, cleaned, daily_rate, frequency_flags, hinge, mapped, one_hot, reason_flag, retained
+from millrace.operators.cleaning import Codes, binary_mapping, cleaned, daily_rate, frequency_flags, hinge, mapped, one_hot, reason_flag, retained, vocabularies
 
 #: Types that a model can use.
 MODELLED = {"binary", "categorical", "continuous", "count", "ordinal"}
@@ -110,11 +110,8 @@ def sources(columns: list[str], entries: list[dict], plan: Plan) -> list[Source]
 
 
 def _observed(df: DataFrame, found: dict[str, Column]) -> dict[str, list[float]]:
-    """Distinct values of coded columns, sorted; one row comes back."""
-    if not found:
-        return {}
-    row = df.agg(*[F.array_sort(F.collect_set(x)).alias(n) for n, x in found.items()]).first()
-    return {n: list(row[n]) for n in found}
+    """Distinct values of coded columns, sorted."""
+    return vocabularies(df, found)
 
 
 def _require_usable(df: DataFrame, found: list[Source]) -> None:

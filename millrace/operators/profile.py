@@ -44,7 +44,9 @@ def standardised_difference(df: DataFrame, columns: list[str], target: Column) -
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(canonical_number(F.col(column).cast("double")).alias("value")).agg(F.count("*").alias("n"))
+    # named once a distinct value; two that share 15 digits are one
+    counts = df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return counts.select(canonical_number(F.col("v")).alias("value"), "n").groupBy("value").agg(F.sum("n").alias("n"))
 
 
 def bounded_value_counts(df: DataFrame, column: str, cap: int) -> DataFrame:
@@ -106,11 +108,16 @@ def duplicate_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """``left, right`` pairs of equal columns.
 
     Columns with the same profile are candidates, and only these are compared,
-    cell by cell, in one more scan.
+    cell by cell, in one more scan. The profile has no sum of floats, which would
+    depend on the order of the rows.
     """
+    value = F.col("value")
+    found = long_form(df, columns, []).groupBy("feature").agg(
+        F.count(value).alias("known"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(F.xxhash64(value).cast("decimal(38,0)")).alias("mark")
+    )
     stats: dict[tuple, list[str]] = {}
-    for r in moments(df, columns).collect():
-        stats.setdefault((r["missing"], r["min"], r["max"], r["mean"]), []).append(r["feature"])
+    for r in found.collect():
+        stats.setdefault((r["known"], r["min"], r["max"], r["mark"]), []).append(r["feature"])
     pairs = [(a, b) for group in stats.values() for i, a in enumerate(sorted(group)) for b in sorted(group)[i + 1 :]]
     spark = df.sparkSession
     if not pairs:

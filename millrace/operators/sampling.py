@@ -59,12 +59,17 @@ def undersample_hard(df: DataFrame, label: str, key: str, score: str, ratio: int
     wanted = ratio * positives
     random = undersample(df, label, key, ratio, seed) if wanted == 0 else class_ranks(df, label, key, seed).where((F.col(label) == 1) | (F.col("place") <= wanted // 2)).drop("place", "class_size")
     rest = df.join(random.select(key), key, "left_anti").where(F.col(label) == 0)
-    hard = rest.orderBy(F.desc(score), key).limit(wanted - wanted // 2)
+    hard = first_rows(rest, [F.desc(score), F.col(key)], wanted - wanted // 2)
     return random.select(*df.columns).unionByName(hard.select(*df.columns))
 
 
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in order; no task sees more than its range, however large ``n``."""
+    return running_totals(df.withColumn("__one", F.lit(1)), order, {"__place": "__one"}).where(F.col("__place") <= n).select(*df.columns)
+
+
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:
-    return df.orderBy(sampling_order(seed, F.col(key)), key).limit(n)
+    return first_rows(df, [sampling_order(seed, F.col(key)), F.col(key)], n)
 
 
 def coverage_faults(df: DataFrame, folds: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from datetime import datetime, timezone
 
@@ -11,15 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from millrace.functions.folders import scratch
+from millrace.functions.scalars import row_digest
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -70,37 +62,67 @@ def fingerprint(df: DataFrame) -> dict[str, int]:
     return {"rows": row["rows"], "bits": row["bits"] or 0, "total": row["total"] or 0}
 
 
+def table_digest(df: DataFrame) -> DataFrame:
+    """``rows, digest``: the sum of the leading 60 bits of each row's SHA-256, whatever the order of rows."""
+    head = F.conv(F.substring(row_digest(*[F.col(c) for c in df.columns]), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(head), F.lit(0)).cast("string").alias("digest"))
+
+
 def cached(df: DataFrame, path: str) -> DataFrame:
     """A Parquet copy with a receipt in a table beside it.
 
-    An existing copy is used only if its receipt matches both the source and
-    the copy; else it is an error, never overwritten.
+    The copy goes to a folder of its own, and counts once a receipt names it: what
+    a writer left that was stopped in between is never read. An existing copy is
+    used only if its receipt matches both the source and the copy; else it is an
+    error, never overwritten.
     """
     spark, want = df.sparkSession, json.dumps(fingerprint(df), sort_keys=True)
-    try:
-        held = spark.read.json(f"{path}/receipt").first()["value"]
-    except Exception as error:  # no receipt yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        df.write.parquet(f"{path}/data")
-        spark.createDataFrame([(want,)], "value string").coalesce(1).write.json(f"{path}/receipt")
-        return spark.read.schema(df.schema).parquet(f"{path}/data")
-    copy = spark.read.schema(df.schema).parquet(f"{path}/data")
-    if held != want or json.dumps(fingerprint(copy), sort_keys=True) != want:
+    receipts = f"{path}/receipt"
+    held = spark.read.schema("value string, data string").json(receipts).collect() if _exists(spark, receipts) else []
+    if not held:
+        data = f"{path}/data-{uuid.uuid4().hex}"
+        df.write.parquet(data)
+        spark.createDataFrame([(want, data)], "value string, data string").coalesce(1).write.mode("append").json(receipts)
+        return spark.read.schema(df.schema).parquet(data)
+    copy = spark.read.schema(df.schema).parquet(held[0]["data"])
+    if len(held) > 1 or held[0]["value"] != want or json.dumps(fingerprint(copy), sort_keys=True) != want:
         raise ValueError("the cached copy is stale or was changed")
     return copy
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def signed(p, threshold: float):
     """Probability to -1 or 1; equal to the threshold is 1."""
     return F.when(p >= threshold, 1).otherwise(-1)
 
 
 def write_predictions(df: DataFrame, path: str, order: str = "position") -> None:
-    """``Id,Prediction`` in the given order, in one file after a range sort."""
-    if not df.where(~F.col("Prediction").isin(-1, 1)).isEmpty():
+    """``Id,Prediction`` in the given order, in one file with LF line ends; never overwritten.
+
+    Sorted parts are written side by side, and joined by copying their bytes.
+    """
+    if not df.where(F.col("Prediction").isNull() | ~F.col("Prediction").isin(-1, 1)).isEmpty():
         raise ValueError("predictions must be -1 or 1")
-    df.orderBy(order).select("Id", "Prediction").coalesce(1).write.csv(path, header=True)
+    spark = df.sparkSession
+    parts = scratch(spark, "predictions")
+    df.orderBy(order).select(F.concat_ws(",", "Id", "Prediction").alias("value")).write.text(parts, lineSep="\n")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    files = source.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, False)
+    try:
+        out.write(bytearray(b"Id,Prediction\n"))
+        for place in sorted(f.getPath().toString() for f in files.listStatus(source) if f.getPath().getName().startswith("part-")):
+            part = files.open(jvm.org.apache.hadoop.fs.Path(place))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    finally:
+        out.close()
+    files.delete(source, True)
 
 
 def prediction_faults(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:

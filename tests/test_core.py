@@ -130,3 +130,42 @@ def test_entry_has_the_core_queries(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cached_copy_after_a_stop(spark, tmp_path):
+    from millrace.sources import tables
+
+    df = spark.range(20).selectExpr("id as Id", "id * 2.0 as x")
+    df.write.parquet(str(tmp_path / "data-left-behind"))  # a writer that was stopped before its receipt
+    assert tables.cached(df, str(tmp_path)).count() == 20
+    assert tables.cached(df, str(tmp_path)).count() == 20
+    with pytest.raises(ValueError, match="stale"):
+        tables.cached(df.where("Id > 3"), str(tmp_path))
+
+
+def test_predictions_are_one_file(spark, tmp_path):
+    from millrace.sources import tables
+
+    df = spark.range(50).selectExpr("49 - id as position", "id as Id", "cast(case when id % 3 = 0 then 1 else -1 end as int) as Prediction").repartition(5)
+    tables.write_predictions(df, str(tmp_path / "out.csv"))
+    lines = (tmp_path / "out.csv").read_bytes().decode().split("\n")
+    assert lines[0] == "Id,Prediction" and lines[1:-1] == [f"{i},{1 if i % 3 == 0 else -1}" for i in range(49, -1, -1)] and lines[-1] == ""
+
+
+def test_equal_columns_on_many_partitions(spark):
+    from millrace.operators.profile import duplicate_columns
+
+    df = spark.range(3000).selectExpr("id * 0.1 as a", "id / 7.0 as b", "id * 0.1 as c", "cast(null as double) as d").repartition(13)
+    assert [tuple(r) for r in duplicate_columns(df, ["a", "b", "c", "d"]).collect()] == [("a", "c")]
+
+
+def test_stream_of_scores(spark, tmp_path):
+    from millrace.streaming.scoring import windowed_confusion
+
+    rows = spark.range(300).selectExpr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id, 0) as ts", "cast(id % 2 as int) as y", "id % 5 / 4.0 as p")
+    rows.coalesce(3).write.parquet(str(tmp_path / "in"))
+    want = sorted(map(tuple, windowed_confusion(rows, "ts", "y", "p", 0.5).collect()))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = windowed_confusion(stream, "ts", "y", "p", 0.5, late="1 day").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("windows").collect())) == want
