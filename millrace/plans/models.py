@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.folders import scratch
 from millrace.operators import boosting, evaluation, linear, sampling, validation
 from millrace.plans import runners
 from millrace.plans.catalogue import EVENTS_SQL, METRICS_SQL, query, rounded, scored_events, table
@@ -91,7 +92,7 @@ def boosted_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boosted_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tree, then one more on the saved and reread model."""
     model, s = _fitted(spark, sf_dir, trees=1)
-    path = tables.scratch(spark, "model")
+    path = scratch(spark, "model")
     model.save(spark, path)
     again = boosting.Booster.load(spark, path).continue_fit(s, "y", 1, key="event_id")
     return rounded(again.decision(s, "event_id").drop("stage"))
@@ -300,7 +301,7 @@ FROM (SELECT *, {METRICS_SQL} FROM (SELECT {_COUNTS} FROM j))"""
 )
 def suite_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled metrics of a nested validation, logged to a ledger."""
-    out = runners.run_suite(scored_events(spark, sf_dir), {"shifted": _shifted}, "y", "event_id", tables.scratch(spark, "ledger"), 3, 2, 4)
+    out = runners.run_suite(scored_events(spark, sf_dir), {"shifted": _shifted}, "y", "event_id", scratch(spark, "ledger"), 3, 2, 4)
     return rounded(out.select("model", "f1", "accuracy", "log_loss", "average_precision"))
 
 
@@ -315,7 +316,7 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row scored by the model that did not see it; kept as a checked artifact."""
     placed = sampling.stratified_folds(scored_events(spark, sf_dir), "y", "event_id", 4, 9)
     found = validation.out_of_fold(placed, "event_id", "fold", 4, _shifted)
-    return rounded(tables.save_out_of_fold(found, placed, "event_id", tables.scratch(spark, "out-of-fold")))
+    return rounded(tables.save_out_of_fold(found, placed, "event_id", scratch(spark, "out-of-fold")))
 
 
 @query("SELECT event_id FROM events WHERE event_id % 50 = 3 OR event_id % 70 = 9 OR event_id % 90 = 11")
