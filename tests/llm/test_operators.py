@@ -513,6 +513,48 @@ def test_packing_covers_every_id_once(odd, empty):
     assert used == [10, 10] and place == [0, 1, 0, 1, 1]
 
 
+def test_pieces_match_the_library(spark):
+    from tokenizers import Tokenizer
+
+    from millrace.llm.packing import best_fit_decreasing, pack
+
+    exact = Tokenizer.from_file(BPE)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = {i: [*exact.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    pieces, windows = {}, {}
+    for r in pack(docs, BPE, size=256).collect():
+        own = ids[r["doc_id"]]
+        part = own[r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(array("I", part).tobytes()) and len(part) == r["length"] and r["doc_tokens"] == len(own)
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(pieces) == set(ids)
+    for i, own in pieces.items():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+        assert [start for start, _ in sorted(own)] == ends[:-1] and ends[-1] == len(ids[i])
+    padding = 0
+    for own in windows.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+        assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= 256
+        padding += 256 - ends[-1] if ends[-1] & (ends[-1] - 1) else 0
+    assert padding < 0.01 * sum(map(len, ids.values()))
+
+    # best fit against a plain search for the tightest open window
+    random = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = random.integers(1, 100, random.integers(1, 200)).tolist()
+        rooms = []
+        for n in sorted(lengths, reverse=True):
+            fits = [room for room in rooms if room >= n]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 100) - n)
+        place, used = best_fit_decreasing(lengths, 100)
+        assert sorted(100 - u for u in used) == sorted(rooms)
+        assert used == [sum(n for n, w in zip(lengths, place) if w == k) for k in range(len(used))]
+
+
 def test_mix_meets_its_targets(spark, odd, empty):
     from millrace.llm.mixing import mix, mixed_documents
 
@@ -565,6 +607,84 @@ def test_mix_of_rows_without_ids(spark):
     assert all(words[s] == pytest.approx(t, rel=0.1, abs=9) for s, t in targets.items())
 
 
+CLASH = "c0 c1 body tie part hot node rank size cut copies rest chance turn place lang_pred score __gone __id __sha __size class_id source_key".split()
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    own = ["doc_id", "text", "lang", "source", "n_chars"]
+    wide = odd.select(*own, *[(odd["doc_id"] + i).alias(c) for i, c in enumerate(CLASH)])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, wide, "")
+        assert got.columns == wide.columns, name
+        for r in got.collect():
+            assert r["doc_id"] is None or r["score"] == r["doc_id"] + CLASH.index("score"), name
+        assert stage(spark, wide.limit(0), "").collect() == [], name
+        assert stage(spark, empty.select(*own), "").columns == own
+    assert corpus_pipeline.STAGES[4][1](spark, wide, "").count() >= wide.count()
+    kept = corpus_pipeline.exact_dedup(spark, wide, "").collect()
+    assert len(kept) == len({"".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "") for r in wide.collect()})
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    random = np.random.default_rng(9)
+    rows = [tuple(r) for r in docs.collect()]
+    noise = [(5000 + i, "".join(map(chr, np.where(random.random(400) < 0.15, 32, 0x430 + random.integers(0, 26, 400)))), None, "src0", 400) for i in range(3)]
+    long = [r for r in rows if r[1] and len(r[1].split()) > 80]
+    copies = [(6000 + i, r[1].upper(), *r[2:]) for i, r in enumerate(long[:5])] + [(7000 + i, r[1] + " zz", *r[2:]) for i, r in enumerate(long[5:12])]
+    spark.createDataFrame([*rows, *noise, *copies], docs.schema).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def fold(t):
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+    # language: only the noise goes; exact: the largest id of each text stays
+    texts = {}
+    for r in sorted([*rows, *copies], key=lambda r: r[0]):
+        texts[fold(r[1])] = r
+    left = {r[0]: r for r in texts.values()}
+    # near: the least id of each class of linked shingle bags
+    from collections import Counter
+
+    bags = {i: Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := (r[1] or "").lower().split()) else Counter() for i, r in left.items()}
+    root = {i: i for i in left}
+    for _ in range(3):
+        for i in left:
+            for j in left:
+                if i < j and bags[i] and (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                    root[i] = root[j] = min(root[i], root[j])
+    left = {i: r for i, r in left.items() if root[i] == i}
+    # mixing: the level by bisection, then a walk along the ranks
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for i, r in left.items()}
+    sources = sorted({r[3] for r in left.values()}, key=lambda s: (s is None, s))
+    total = {s: sum(sizes[i] for i, r in left.items() if r[3] == s) for s in sources}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * total[s], weight[s] * level) for s in sources) < 1.5 * sum(total.values()) else (low, level)
+    times = {}
+    for s in sources:
+        target = min(2 * total[s], weight[s] * low)
+        whole = int((target + 1e-6) // total[s])
+        missing = round(target - whole * total[s])
+        own = sorted((hashlib.md5(f"mix-1|{i}|{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest(), i) for i, r in left.items() if r[3] == s)
+        for _, i in own:
+            times[i] = (whole + (missing >= sizes[i] / 2 and missing > 0)) * bool(sizes[i])
+            missing -= sizes[i]
+    exact = Tokenizer.from_file(BPE)
+    want = {i: n * (len(exact.encode(left[i][1], add_special_tokens=False).ids) + 1) for i, n in times.items() if n}
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want and len(want) > 100
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
