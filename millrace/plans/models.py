@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.folders import scratch
 from millrace.operators import boosting, evaluation, linear, sampling, validation
-from millrace.plans import runners
+from millrace.plans import experiments, runners
 from millrace.plans.catalogue import EVENTS_SQL, METRICS_SQL, query, rounded, scored_events, table
 from millrace.plans.studies import RAW_SQL, survey
+from millrace.plans.files import PAGE
 from millrace.sources import tables
 
 # -- boosting --
@@ -268,18 +269,32 @@ def _folds(rows: str, seed: int, folds: int) -> str:
     return f"SELECT *, CAST(ntile({folds}) OVER (PARTITION BY y ORDER BY md5('{seed}|' || event_id), event_id) - 1 AS INTEGER) AS fold FROM {rows}"
 
 
-def _nested_sql(tail: str) -> str:
-    """Three outer and two inner folds of the model of ``_shifted``; CTE ``j``: (event_id, y, k, p, t)."""
-    parts = [f"o AS ({_folds(EVENTS_SQL, 4, 3)})"]
+_INNER, _OUTER = "(SELECT avg(y) FROM {i} z WHERE z.fold <> {i}.fold)", "(SELECT avg(y) FROM {o} WHERE fold <> {k})"
+
+
+def _nested_parts(name: str = "", inner: str = _INNER, outer: str = _OUTER) -> list[str]:
+    """CTEs of three outer and two inner folds; the last, ``<name>j``, has event_id, y, k, p, t.
+
+    ``inner`` and ``outer`` are what the model of a fold adds to the score.
+    """
+    o = f"{name}o"
+    parts = [f"{o} AS ({_folds(EVENTS_SQL, 4, 3)})"]
     for k in range(3):
-        inner = f"(SELECT event_id, y, p FROM o WHERE fold <> {k})"
-        parts.append(f"i{k} AS ({_folds(inner, 5 + k, 2)})")
-        parts.append(f"g{k} AS (SELECT y, least(1, p + (SELECT avg(y) FROM i{k} z WHERE z.fold <> i{k}.fold)) AS p FROM i{k})")
-        parts.append(f"c{k} AS (SELECT p AS t, sum(sum(y)) OVER w AS tp, sum(count(*)) OVER w AS predicted, (SELECT sum(y) FROM g{k}) AS positives, (SELECT count(*) FROM g{k}) AS total FROM g{k} GROUP BY p WINDOW w AS (ORDER BY p DESC))")
-        parts.append(f"t{k} AS (SELECT t FROM c{k} ORDER BY round(2 * tp / (predicted + positives), 15) DESC, (tp + total - positives - (predicted - tp)) / total DESC, t DESC LIMIT 1)")
-        parts.append(f"j{k} AS (SELECT event_id, y, {k} AS k, least(1, p + (SELECT avg(y) FROM o WHERE fold <> {k})) AS p, (SELECT t FROM t{k}) AS t FROM o WHERE fold = {k})")
-    parts.append("j AS (" + " UNION ALL ".join(f"SELECT * FROM j{k}" for k in range(3)) + ")")
-    return "WITH " + ",\n".join(parts) + "\n" + tail
+        own = {c: f"{name}{c}{k}" for c in "igctj"}
+        rows = f"(SELECT event_id, y, p FROM {o} WHERE fold <> {k})"
+        parts.append(f"{own['i']} AS ({_folds(rows, 5 + k, 2)})")
+        parts.append(f"{own['g']} AS (SELECT y, least(1, p + {inner.format(i=own['i'])}) AS p FROM {own['i']})")
+        parts.append(
+            f"{own['c']} AS (SELECT p AS t, sum(sum(y)) OVER w AS tp, sum(count(*)) OVER w AS predicted, (SELECT sum(y) FROM {own['g']}) AS positives, (SELECT count(*) FROM {own['g']}) AS total FROM {own['g']} GROUP BY p WINDOW w AS (ORDER BY p DESC))"
+        )
+        parts.append(f"{own['t']} AS (SELECT t FROM {own['c']} ORDER BY round(2 * tp / (predicted + positives), 15) DESC, (tp + total - positives - (predicted - tp)) / total DESC, t DESC LIMIT 1)")
+        parts.append(f"{own['j']} AS (SELECT event_id, y, {k} AS k, least(1, p + {outer.format(o=o, k=k)}) AS p, (SELECT t FROM {own['t']}) AS t FROM {o} WHERE fold = {k})")
+    parts.append(f"{name}j AS (" + " UNION ALL ".join(f"SELECT * FROM {name}j{k}" for k in range(3)) + ")")
+    return parts
+
+
+def _nested_sql(tail: str) -> str:
+    return "WITH " + ",\n".join(_nested_parts()) + "\n" + tail
 
 
 _COUNTS = """count(*) FILTER (y = 1 AND p >= t) AS tp, count(*) FILTER (y = 0 AND p >= t) AS fp, count(*) FILTER (y = 0 AND p < t) AS tn, count(*) FILTER (y = 1 AND p < t) AS fn"""
@@ -383,3 +398,58 @@ def ranked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = n.select(F.col("n_name").alias("feature"), F.col("n_regionkey").cast("double").alias("f1_drop"), (key % 2).alias("ap_drop"), (key % 3).alias("log_loss_rise"))
     usage = {r["n_name"]: (r["n_nationkey"] % 5, 0) for r in n.orderBy("n_nationkey").collect()}
     return spark.createDataFrame([(f, i + 1) for i, f in enumerate(validation.ranked_features(found, usage, 9))], "feature string, kept int")
+
+
+# -- controlled studies --
+
+_THIRD = "CAST(1 AS DOUBLE) / 3"
+_FOLD_F1 = "SELECT k, 2.0 * count(*) FILTER (y = 1 AND p >= t) / (count(*) FILTER (p >= t) + count(*) FILTER (y = 1)) AS f1 FROM {0}j GROUP BY k"
+_DELTAS = f"(SELECT b.f1 - a.f1 AS delta FROM ({_FOLD_F1.format('a')}) a JOIN ({_FOLD_F1.format('b')}) b USING (k))"
+
+
+def _two_for_one(train: DataFrame):
+    """Two negatives for each positive: the share that is learned is a third."""
+    return experiments.undersampled(_shifted, "y", "event_id", 2, 3)(train)
+
+
+@query(
+    "WITH "
+    + ",\n".join(_nested_parts("a") + _nested_parts("b", _THIRD, _THIRD))
+    + f"\nSELECT 'fewer' AS candidate, round(sum(delta), 6) AS pooled, count(*) FILTER (delta > 0) AS better, sum(delta) > 0 AND count(*) FILTER (delta > 0) >= 2 AS promoted FROM {_DELTAS}"
+)
+def controlled_undersampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewer negatives against all rows, on the same nested folds."""
+    e, ledger = scored_events(spark, sf_dir), scratch(spark, "ledger")
+    return rounded(experiments.controlled_study(e, _shifted, {"fewer": _two_for_one}, "y", "event_id", ledger, 3, 2, 4).drop("stage"))
+
+
+@query(
+    f"""WITH r AS (SELECT p AS t, sum(sum(y)) OVER w AS tp, sum(count(*)) OVER w AS predicted, (SELECT sum(y) FROM {EVENTS_SQL}) AS positives, (SELECT count(*) FROM {EVENTS_SQL}) AS total FROM {EVENTS_SQL} GROUP BY p WINDOW w AS (ORDER BY p DESC)),
+b AS (SELECT t FROM r ORDER BY round(2 * tp / (predicted + positives), 15) DESC, (tp + total - positives - (predicted - tp)) / total DESC, t DESC LIMIT 1)
+SELECT 'first' AS name, true AS done, round(t, 6) AS threshold FROM b UNION ALL SELECT 'second', true, round(t, 6) FROM b UNION ALL SELECT 'third', false, NULL"""
+)
+def calibration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three candidates calibrated in two runs, the second of which goes on where the first ended."""
+    e, ledger = scored_events(spark, sf_dir), scratch(spark, "ledger")
+    candidates = dict.fromkeys(("first", "second", "third"), lambda train: _plain)
+    for _ in range(2):
+        status = experiments.calibrate_pending(e, candidates, "y", "event_id", ledger, 2, 1, 1)
+    found = spark.read.parquet(ledger).select("name", F.get_json_object("outcome", "$.threshold").cast("double").alias("threshold"))
+    return rounded(status.join(found, "name", "left"))
+
+
+def _answers(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("CAST(CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey % 5 END AS DOUBLE) AS GENHLTH", "CAST(1 + n_nationkey % 2 AS DOUBLE) AS SMOKER")
+
+
+@query(
+    """SELECT name, semantic_type, count(*) AS train_rows, count(*) FILTER (v IS NULL) AS train_missing, round(avg(v), 6) AS train_mean, max(v) AS test_max
+FROM (SELECT 'GENHLTH' AS name, 'ordinal' AS semantic_type, CAST(CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey % 5 END AS DOUBLE) AS v FROM nation
+UNION ALL SELECT 'SMOKER', 'binary', CAST(1 + n_nationkey % 2 AS DOUBLE) FROM nation) GROUP BY ALL"""
+)
+def built_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a codebook and both samples to the written registry."""
+    path, rows = scratch(spark, "codebook"), _answers(table(spark, sf_dir, "nation"))
+    spark.createDataFrame([(PAGE,)], "value string").coalesce(1).write.text(path)
+    out = experiments.build_registry(spark, path, rows, rows, scratch(spark, "registry"))
+    return rounded(out.select("name", "semantic_type", "train_rows", "train_missing", "train_mean", "test_max"))

@@ -151,14 +151,18 @@ def train_and_predict(train: DataFrame, test: DataFrame, fit: Fitter, key: str,
     return fit(train)(test).select(key, tables.signed(F.col("p"), threshold).alias("Prediction"))
 
 
-def calibrated_threshold(train: DataFrame, fit: Fitter, label: str, key: str, folds: int = 3, seed: int = 0) -> float | None:
-    """The best threshold of out-of-fold scores of one stage on all training rows; None if nobody should be positive."""
+def calibrated_threshold(train: DataFrame, fit: Fitter, label: str, key: str, folds: int = 3, seed: int = 0) -> float:
+    """The best threshold of out-of-fold scores of one stage on all training rows.
+
+    If nobody should be positive it is the next number above the highest score.
+    """
     from millrace.operators.evaluation import best_f1_threshold
     from millrace.operators.sampling import stratified_folds
 
     placed = stratified_folds(train, label, key, folds, seed)
     scores = validation.out_of_fold(placed, key, "fold", folds, fit).join(train.select(key, label), key)
-    return best_f1_threshold(scores, F.col(label), F.col("p")).first()["threshold"]
+    best = best_f1_threshold(scores, F.col(label), F.col("p")).first()["threshold"]
+    return float(np.nextafter(scores.agg(F.max("p")).first()[0], np.inf)) if best is None else best
 
 
 def run_suite(df: DataFrame, fitters: dict[str, Fitter], label: str, key: str, ledger: str | None = None, outer: int = 3, inner: int = 2, seed: int = 0) -> DataFrame:

@@ -78,7 +78,7 @@ def cached(df: DataFrame, path: str) -> DataFrame:
     """
     spark, want = df.sparkSession, json.dumps(fingerprint(df), sort_keys=True)
     receipts = f"{path}/receipt"
-    held = spark.read.schema("value string, data string").json(receipts).collect() if _exists(spark, receipts) else []
+    held = spark.read.schema("value string, data string").json(receipts).collect() if exists(spark, receipts) else []
     if not held:
         data = f"{path}/data-{uuid.uuid4().hex}"
         df.write.parquet(data)
@@ -90,7 +90,7 @@ def cached(df: DataFrame, path: str) -> DataFrame:
     return copy
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 

@@ -123,3 +123,40 @@ def test_reports(spark):
     assert [r["value"] for r in profile.category_order(counts).orderBy("place").collect()] == ["9", "10", "x", "<MISSING>"]
     top = profile.top_values(counts, counts.where("n > 3"), 2).collect()
     assert [(r["value"], r["n"]) for r in top] == [("x", 8), ("9", 3)] and top[0]["right_share"] == 1.0
+
+
+def test_importance_with_kept_trees(spark):
+    from millrace.operators import boosting, validation
+    from millrace.plans import experiments
+
+    rows = spark.range(600).selectExpr("id as k", "cast(id % 7 as double) as a", "cast(id % 11 as double) as b", "cast(id % 13 as double) as c", "cast(case when id % 7 + id % 11 > 8 then 1 else 0 end as int) as y")
+    model = boosting.Booster(["a", "b", "c"], boosting.Settings(trees=6, depth=1, rate=0.5, min_leaf=10, bins=8)).fit(rows, "y", key="k")
+    groups = {"a": ["a"], "b": ["b"], "c": ["c"]}
+    whole = validation.permutation_importance(rows, groups, "y", "k", lambda df: model.probabilities(df, "k"), 0.5, [1, 2])
+    kept = experiments.boosting_importance(model, rows, groups, "y", "k", 0.5, [1, 2])
+    want, got = ({r["feature"]: r for r in df.collect()} for df in (whole, kept))
+    for name in groups:
+        for c in ("f1_drop", "ap_drop", "log_loss_rise"):
+            assert got[name][c] == pytest.approx(want[name][c], abs=1e-9)
+    assert got["c"]["log_loss_rise"] == pytest.approx(0, abs=1e-9)
+
+
+def test_candidates_and_selection(spark):
+    from millrace.operators import boosting
+    from millrace.plans import experiments, runners
+
+    rows = spark.range(900).selectExpr("id as k", "cast(id % 7 as double) as a", "cast(id % 13 as double) as c", "cast(case when id % 7 > 4 then 1 else 0 end as int) as y")
+    entries = [{"name": n, "semantic_type": "continuous", "documented_values": [], "special_values": []} for n in "ac"]
+    study = runners.Study(["a", "c"], entries, "y", "k")
+    settings = boosting.Settings(trees=3, depth=1, rate=0.5, min_leaf=10, bins=8)
+    seen = []
+    scorer = experiments.timed(experiments.selected(study, settings, 1, [1], 3, 200), lambda *phase: seen.append(phase))(rows)
+    p = {r["k"]: r["p"] for r in scorer(rows).collect()}
+    assert [n for n, _ in seen] == ["fit", "score"] and p[5] > 0.5 > p[1]
+    assert len({round(v, 9) for v in p.values()}) == 2  # one column, one split
+    heavier = {r["k"]: r["p"] for r in experiments.weighted(study, settings, 5.0)(rows)(rows).collect()}
+    assert heavier[1] > p[1]
+    pilot = runners.boosting_fitter(study, settings)
+    sizes = []
+    experiments.undersampled(lambda train: sizes.append(train.groupBy("y").count().collect()) or pilot(train), "y", "k", 1, 2, pilot)(rows)
+    assert len({r["count"] for r in sizes[0]}) == 1
