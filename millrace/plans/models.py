@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.folders import scratch
-from millrace.operators import boosting, evaluation, linear, sampling, validation
+from millrace.operators import boosting, evaluation, linear, preprocessing, sampling, validation
 from millrace.plans import experiments, runners
 from millrace.plans.catalogue import EVENTS_SQL, METRICS_SQL, query, rounded, scored_events, table
-from millrace.plans.studies import RAW_SQL, survey
+from millrace.plans.studies import COLUMNS, ENTRIES, RAW_SQL, survey
 from millrace.plans.files import PAGE
 from millrace.sources import tables
 
@@ -453,3 +453,100 @@ def built_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.createDataFrame([(PAGE,)], "value string").coalesce(1).write.text(path)
     out = experiments.build_registry(spark, path, rows, rows, scratch(spark, "registry"))
     return rounded(out.select("name", "semantic_type", "train_rows", "train_missing", "train_mean", "test_max"))
+
+
+# -- baselines, continued fits, samples, representations --
+
+
+@query('SELECT event_id, CAST(-1 AS INTEGER) AS "Prediction" FROM events')
+def constant_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nobody is positive."""
+    e = scored_events(spark, sf_dir)
+    return runners.train_and_predict(e, e, runners.constant_fitter(runners.Study([], [], "y", "event_id")), "event_id", 0.5)
+
+
+@query(
+    f"""SELECT 'even' AS model, round(2 * avg(y) / (1 + avg(y)), 6) AS f1, round(avg(y), 6) AS accuracy, round(avg(-(y * ln(0.2) + (1 - y) * ln(0.8))), 6) AS log_loss, round(avg(y), 6) AS average_precision FROM {EVENTS_SQL}"""
+)
+def even_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score that tells nothing: the best threshold calls everyone positive."""
+    fitter = runners.constant_fitter(runners.Study([], [], "y", "event_id"), 0.2)
+    out = runners.run_suite(scored_events(spark, sf_dir), {"even": fitter}, "y", "event_id", None, 3, 2, 4)
+    return rounded(out.select("model", "f1", "accuracy", "log_loss", "average_precision"))
+
+
+@query(logistic_sql(_LINES, 8, 1.0) + "SELECT CAST(i AS INTEGER) AS steps, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM r WHERE i IN (4, 8)")
+def logistic_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after four steps, and after four more from there."""
+    rows, w, found = _lines(spark, sf_dir), [0.0, 0.0], []
+    for steps in (4, 8):
+        w = [float(x) for x in linear.logistic(rows, "y", ["one", "x"], w, 4, 1.0)[0]]
+        found.append((steps, *w))
+    return rounded(spark.createDataFrame(found, "steps int, w0 double, w1 double"))
+
+
+@query(
+    f"""WITH c AS (SELECT y, count(*) AS n, floor((SELECT count(*) FROM {EVENTS_SQL}) * 0.3) * count(*) / (SELECT count(*) FROM {EVENTS_SQL}) AS fair FROM {EVENTS_SQL} GROUP BY y),
+q AS (SELECT y, floor(fair) AS quota, row_number() OVER (ORDER BY floor(fair) - fair, y) AS place FROM c)
+SELECT y, CAST(quota + CASE WHEN place <= floor((SELECT count(*) FROM {EVENTS_SQL}) * 0.3) - (SELECT sum(quota) FROM q) THEN 1 ELSE 0 END AS BIGINT) AS n FROM q"""
+)
+def tree_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each class that a tree sees: the quotas are met exactly."""
+    e = scored_events(spark, sf_dir).select("y", F.col("event_id").alias("rid"))
+    quotas = boosting.class_quotas({r["y"]: r["count"] for r in e.groupBy("y").count().collect()}, 0.3)
+    return e.where(boosting.sampled(e, quotas, 7, 2)).groupBy("y").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT event_id, round(1 / (1 + exp(-(0.3 + 1.5 * greatest(0.2 * p - 0.4 * y + 0.1, 0) - 0.7 * greatest(-0.6 * p + 0.9 * y - 0.2, 0) + 0.25 * greatest(p, 0)))), 6) AS p FROM {EVENTS_SQL}"""
+)
+def network_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network with given weights, saved, read back and applied batch by batch."""
+    import numpy as np
+
+    from millrace.operators import perceptron
+
+    model = perceptron.Perceptron((3,))
+    model.weights = [np.array([[0.2, -0.6, 1.0], [-0.4, 0.9, 0.0]]), np.array([[1.5], [-0.7], [0.25]])]
+    model.biases = [np.array([0.1, -0.2, 0.0]), np.array([0.3])]
+    path = scratch(spark, "network")
+    model.save(spark, path)
+    e = scored_events(spark, sf_dir).select("event_id", F.col("p").alias("a"), F.col("y").cast("double").alias("b"))
+    return rounded(perceptron.predict(e, perceptron.Perceptron.load(spark, path), ["a", "b"], "event_id"))
+
+
+@query(f"SELECT event_id, answer, days, yes, round(measure, 6) AS measure FROM {RAW_SQL}")
+def raw_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(preprocessing.raw_tree(COLUMNS).apply(survey(spark, sf_dir), "event_id"))
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN answer NOT IN (1, 7, 8, 9) THEN answer END AS answer, CASE WHEN days = 77 THEN NULL WHEN days IN (88, 30) THEN 0 ELSE days END AS days, 2 - yes AS yes, round(measure, 6) AS measure FROM {RAW_SQL}"""
+)
+def overridden_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan names one more missing code and one more code for none."""
+    s = survey(spark, sf_dir)
+    plan = preprocessing.Plan(missing_codes={"answer": {1.0: "blank"}}, zero_codes={"days": (30.0,)})
+    return rounded(preprocessing.fit_tree(s, COLUMNS, ENTRIES, plan).apply(s, "event_id"))
+
+
+@query(
+    f"""SELECT feature, count(*) AS rows, count(*) FILTER (v IS NULL) AS missing, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max
+FROM (SELECT 'answer' AS feature, answer AS v FROM {RAW_SQL} WHERE event_id % 4 <> 0 UNION ALL SELECT 'measure', measure FROM {RAW_SQL} WHERE event_id % 4 <> 0) GROUP BY feature"""
+)
+def audited_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of the training rows in an exploratory report."""
+    s = survey(spark, sf_dir)
+    return rounded(runners.audit(s.where("event_id % 4 <> 0"), s.where("event_id % 4 = 0"), PAIR[::-1], F.col("y"))["train"])
+
+
+@query("SELECT unnest(['ordinal', 'binary', 'core_survey', 'optional_module', 'none']) AS name, unnest([1, 1, 1, 1, 2]) AS columns")
+def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by type, source and risk, read from the tables of the Markdown summary."""
+    path, rows = scratch(spark, "codebook"), _answers(table(spark, sf_dir, "nation"))
+    spark.createDataFrame([(PAGE,)], "value string").coalesce(1).write.text(path)
+    folder = scratch(spark, "registry")
+    experiments.build_registry(spark, path, rows, rows, folder)
+    lines = spark.read.text(f"{folder}/summary")
+    cells = F.split("value", r"\s*\|\s*")
+    return lines.where(F.col("value").rlike(r"^\| [a-z_]+ \| \d+ \|$")).select(cells[1].alias("name"), cells[2].cast("int").alias("columns"))
