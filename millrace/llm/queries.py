@@ -11,12 +11,22 @@ from millrace.llm.common import read_table
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to token files and read back.
+
+    Null text: the end id alone; documents without an id come first; repeated rows are documents of
+    their own; an empty table gives no rows.
+    """
     from millrace.llm.token_file import token_table
 
     return token_table(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document.
+
+    Null and empty texts have none; repeated rows and rows without an id come back as they are; an
+    empty table gives no rows.
+    """
     from millrace.llm.secret_scan import BASE_RULES, MORE_RULES, find_secrets
 
     return find_secrets(read_table(spark, sf_dir, "documents"), rules=(*BASE_RULES, *MORE_RULES), base=len(BASE_RULES))
@@ -74,6 +84,11 @@ OP2_SQL = _op2_sql()
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, a row for every document.
+
+    Null counts as empty; of rows that repeat id and text one is kept; a row without an id is kept
+    where its group has no other; an empty table gives no rows.
+    """
     from millrace.llm.exact_dedup import exact_groups
 
     return exact_groups(read_table(spark, sf_dir, "documents"), keep="largest")
@@ -92,42 +107,77 @@ FROM d JOIN g ON d.body = g.body
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document.
+
+    Null and empty texts have none; repeated rows and rows without an id come back as they are; an
+    empty table gives no rows.
+    """
     from millrace.llm.token_counts import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page.
+
+    Null URLs have an empty host and path; repeated rows and rows without an id are judged alike; an
+    empty table gives no rows.
+    """
     from millrace.llm.url_filter import judge_urls
 
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every document.
+
+    Null and letterless texts are ``und`` with score 0; repeated rows come back as they are, rows
+    without an id are not held out; an empty table gives no rows.
+    """
     from millrace.llm.language import identify
 
     return identify(read_table(spark, sf_dir, "documents"))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every twentieth id.
+
+    Null, zero and non-finite vectors take no part; rows that repeat an id are all candidates, and
+    queries where their vectors differ; an empty table gives no rows.
+    """
     from millrace.llm.neighbours import nearest
 
     return nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for every document.
+
+    Texts without words are classes of their own; rows of one id share a class; a row without an id
+    has none; an empty table gives no rows.
+    """
     from millrace.llm.near_dedup import near_classes
 
     return near_classes(read_table(spark, sf_dir, "documents"), words=5, similarity=0.8)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in windows of 2048 ids.
+
+    Null text: the end id alone; repeated rows and rows without an id are documents of their own; an
+    empty table gives no rows.
+    """
     from millrace.llm.packing import pack
 
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1, memo_entries=1_000_000)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document.
+
+    Null text has none; a null source is one of its own; rows that repeat id and text share what is
+    taken; an empty table gives no rows.
+    """
     from millrace.llm.mixing import mix
 
     out = mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_epochs=2.0)

@@ -180,6 +180,11 @@ def write_shards(
 
     # a row for each shard
     done = placed.mapInArrow(write, "shard int, path string, documents long, ids long").collect()
+    # drafts of attempts that were lost
+    store, root = pafs.FileSystem.from_uri(folder)
+    for file in store.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if file.path.endswith(".part"):
+            store.delete_file(file.path)
     return [(r.path, r.documents, r.ids) for r in sorted(done) if r.documents]
 
 

@@ -382,6 +382,30 @@ def test_neighbours_recall(spark):
     assert nearest(spark.createDataFrame([], df.schema)).collect() == []
 
 
+def test_neighbours_of_odd_rows(spark):
+    from millrace.llm.neighbours import nearest
+
+    random = np.random.default_rng(11)
+    # small whole numbers, so that scores tie
+    rows = [(i, random.integers(-2, 3, 4).astype(float).tolist()) for i in range(200)]
+    rows += [(20, [9.0, 0.0, 0.0, 0.0]), (20, [0.0, 9.0, 0.0, 0.0]), (40, rows[40][1]), (300, [1.0, 2.0]), (301, [2.0]), (302, [0.0, 0.0]), (303, None)]
+    usable = [(i, v) for i, v in rows if v is not None and any(v)]
+    full = [(i, np.array([*v, *[0.0] * (4 - len(v))])) for i, v in usable]
+    want = {}
+    for q, v in full:
+        if q % 20 == 0:
+            found = [(-float(v @ w), i) for i, w in full]
+            found.remove((-float(v @ v), q))
+            want[q, tuple(v)] = [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(found)[:20])]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = {}
+        for r in nearest(df, shard_rows=60, block_rows=3).collect():
+            got.setdefault((r["query_id"], r["query_copy"]), []).append((r["rank"], r["vec_id"], r["score"]))
+        # a query for each different vector of an id
+        assert sorted((q, sorted(own)) for (q, _), own in got.items()) == sorted((q, own) for (q, _), own in want.items())
+
+
 @pytest.mark.parametrize("group", [50, 500, 5000])
 def test_neighbours_in_groups(group):
     from millrace.llm.neighbours import Graph
