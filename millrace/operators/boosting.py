@@ -145,7 +145,11 @@ def scores(trees: list[list[Node]], bins: np.ndarray, start: np.ndarray, rate: f
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    """Rows of ``width`` bytes each, straight from the column's buffer."""
+    _, offsets, body = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    first = int(np.frombuffer(offsets, kind)[column.offset]) if len(column) else 0
+    return np.frombuffer(body or b"", np.uint8)[first : first + len(column) * width].reshape(-1, width)
 
 
 @dataclass

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars
 from millrace.functions.folders import scratch
 from millrace.plans.catalogue import query, rounded, table
-from millrace.sources import codebook, tables
+from millrace.sources import codebook, reports, tables
 from millrace.streaming import scoring
 
 # -- CSV sources and cached copies --
@@ -283,3 +283,52 @@ def hourly_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion counts by event-time window, as the stream counts them."""
     e = table(spark, sf_dir, "events").select("ts", (F.col("event_type") == "purchase").cast("int").alias("y"), "value")
     return scoring.windowed_confusion(e, "ts", "y", "value", 50.0)
+
+
+# -- checks of written results --
+
+
+@query(f"""SELECT 'predictions.csv' AS path, length(t) AS size, sha256(t) AS sha256 FROM (SELECT 'Id,Prediction' || chr(10) || string_agg("Id" || ',' || "Prediction" || chr(10), '' ORDER BY "Id") AS t FROM ({_SIGNED}))""")
+def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and SHA-256 of a written file."""
+    folder = scratch(spark, "manifest")
+    tables.write_predictions(_predictions(spark, sf_dir), f"{folder}/predictions.csv")
+    return reports.manifest(spark, folder).where("path like '%.csv'")
+
+
+@query("SELECT n_name AS path, CASE n_nationkey % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'changed' ELSE 'unexpected' END AS fault FROM nation")
+def manifest_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are missing, changed or not expected."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.col("n_nationkey").alias("k"))
+    return reports.manifest_faults(n.where("k % 3 <> 2").withColumn("sha256", F.lit("a")), n.where("k % 3 <> 0").withColumn("sha256", F.lit("b")))
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS key, 'n' AS "column", CAST(n + 1 AS VARCHAR) AS reported, CAST(n AS VARCHAR) AS recomputed
+FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) WHERE user_id % 10 = 0"""
+)
+def report_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a written report that a new computation does not give."""
+    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    path = scratch(spark, "report")
+    tables.write_report_csv(own.withColumn("n", F.col("n") + (F.col("user_id") % 10 == 0).cast("int")), path, ["user_id", "n", "mean"])
+    written = spark.read.schema("user_id long, n long, mean double").csv(path, header=True)
+    return reports.report_faults(written, own, "user_id")
+
+
+@query("SELECT 'nations[' || (row_number() OVER (ORDER BY n_nationkey) - 1) || '].name' AS path, n_name AS value FROM nation QUALIFY contains(n_name, '1')")
+def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String values of a strict JSON document, with their paths."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    document = reports.loaded(reports.dumped({"nations": [{"name": r["n_name"], "key": r["n_nationkey"]} for r in rows]}))
+    return spark.createDataFrame(list(reports.strings_in(document, lambda s: "1" in s)), "path string, value string")
+
+
+@query("SELECT CAST(event_id // 2048 * 2048 AS BIGINT) AS start, count(*) AS rows, round(sum(value), 4) AS total, count(*) FILTER (event_id % 13 = 0) AS blanks FROM (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN value END AS value FROM events) GROUP BY 1")
+def chunked_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 2048 rows in order of the id, as matrices."""
+    import numpy as np
+
+    own = _features(spark, sf_dir).orderBy("Id")
+    found = [(start, len(keys), float(np.nansum(m[:, 0])), int(np.isnan(m[:, 0]).sum())) for start, keys, m in reports.chunks(own, "Id", ["value"])]
+    return rounded(spark.createDataFrame(found, "start long, rows long, total double, blanks long"), 4)

@@ -169,3 +169,17 @@ def test_stream_of_scores(spark, tmp_path):
     query = windowed_confusion(stream, "ts", "y", "p", 0.5, late="1 day").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True)
     query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
     assert sorted(map(tuple, spark.table("windows").collect())) == want
+
+
+def test_matrix_files_and_strict_documents(spark, tmp_path):
+    from millrace.sources import reports
+
+    df = spark.range(25).selectExpr("id as k", "case when id % 5 = 0 then null else id * 1.5 end as a", "id * -1.0 as b").coalesce(1)
+    reports.write_matrix(df, "k", ["a", "b"], str(tmp_path / "m.npy"), 7)
+    found = np.load(tmp_path / "m.npy", mmap_mode="r")
+    assert found.shape == (25, 2) and np.isnan(found[::5, 0]).all() and found[3].tolist() == [4.5, -3.0]
+    assert list(reports.strings_in({"a": ["x", {"b": "y"}], "c": "x", "d": 1}, lambda s: s == "x")) == [("a[0]", "x"), ("c", "x")]
+    with pytest.raises(ValueError):
+        reports.dumped({"a": float("nan")})
+    with pytest.raises(ValueError):
+        reports.loaded('{"a": NaN}')
