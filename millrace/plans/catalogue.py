@@ -305,12 +305,16 @@ def value_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT event_type AS v, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS v, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+    """WITH e AS (SELECT event_type AS v, CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) < ((SELECT max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) FROM events) + 1) / 2 AS early FROM events),
+a AS (SELECT v, count(*) AS n FROM e WHERE early GROUP BY 1), b AS (SELECT v, count(*) AS n FROM e WHERE NOT early GROUP BY 1)
 SELECT round(0.5 * sum(abs(coalesce(a.n, 0) / (SELECT CAST(sum(n) AS DOUBLE) FROM a) - coalesce(b.n, 0) / (SELECT CAST(sum(n) AS DOUBLE) FROM b))), 6) AS total_variation FROM a FULL JOIN b ON a.v = b.v"""
 )
 def tvd_two_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    a, b = (e.where(F.col("event_id") % k == 0).groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n")) for k in (2, 3))
+    """The first half of the days against the second."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("value"), F.to_date("ts").alias("day"))
+    first, last = e.agg(F.min("day"), F.max("day")).first()
+    early = F.datediff("day", F.lit(first)) < ((last - first).days + 1) / 2
+    a, b = (e.where(side).groupBy("value").agg(F.count("*").alias("n")) for side in (early, ~early))
     return rounded(profile.total_variation(a, b))
 
 

@@ -14,7 +14,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -22,3 +22,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def more_partitions(spark):
+    """Tests of what lies across the edges of partitions have more of them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
