@@ -98,7 +98,7 @@ def test_secrets_match_python(spark, empty):
     assert find_secrets(empty).collect() == []
 
 
-def test_exact_groups(odd, empty):
+def test_exact_groups(odd, empty, more_partitions):
     from millrace.llm.exact_dedup import drop_exact_copies, exact_groups
 
     fold = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or ""))
@@ -118,7 +118,7 @@ def test_exact_groups(odd, empty):
     assert exact_groups(empty).collect() == []
 
 
-def test_groups_over_partition_edges(spark):
+def test_groups_over_partition_edges(spark, more_partitions):
     from millrace.llm.exact_dedup import exact_groups
 
     df = spark.range(400).selectExpr("id as doc_id", "case when id % 4 = 0 then concat('t', id) else 'Copy' end as text")
@@ -127,7 +127,7 @@ def test_groups_over_partition_edges(spark):
     assert len(copies) == 300 and {r["keep_id"] for r in copies} == {399} and sum(r["kept"] for r in got) == 101
 
 
-def test_long_common_openings_and_hot_groups(spark):
+def test_long_common_openings_and_hot_groups(spark, more_partitions):
     from millrace.llm.exact_dedup import drop_exact_copies, exact_groups
 
     # all texts open alike for 3000 characters; half of the rows are one text, some without any id
@@ -612,7 +612,7 @@ def test_mix_meets_its_targets(spark, odd, empty):
     assert mix(odd).count() == odd.count() and mix(empty).collect() == [] and mixed_documents(empty).collect() == []
 
 
-def test_mix_of_rows_without_ids(spark):
+def test_mix_of_rows_without_ids(spark, more_partitions):
     from millrace.llm.mixing import mix, mixed_documents
 
     # different texts without an id are ordered by text; rows that repeat id and text share what is left
