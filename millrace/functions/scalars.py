@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,13 +20,21 @@ def finite_code(code: Column) -> Column:
     return F.trim(code).try_cast("double")
 
 
+# How labels begin that stand for an answer, and what marks each reason, the first of which holds.
+SUBSTANTIVE_STARTS = ("no missing", "not missing", "included", "has ")
+REASON_MARKS = {"unknown": ("don't know", "dont know", "not sure"), "refused": ("refused",), "blank": ("not asked",)}
+BLANK_WORD = "missing"
+
+
 def missing_reason(label: Column) -> Column:
     """``unknown``, ``refused`` or ``blank``; null for a substantive label. Unknown wins, then refused."""
     text = normalise_label(label)
-    substantive = (text == "") | text.startswith("no missing") | text.startswith("not missing") | text.startswith("included") | text.startswith("has ")
-    unknown = text.contains("don't know") | text.contains("dont know") | text.contains("not sure")
-    blank = text.contains("not asked") | (text == "missing") | text.startswith("missing ")
-    return F.when(~substantive & unknown, "unknown").when(~substantive & text.contains("refused"), "refused").when(~substantive & blank, "blank")
+    any_of = lambda parts: reduce(lambda x, y: x | y, parts)
+    out = F.when((text == "") | any_of(text.startswith(p) for p in SUBSTANTIVE_STARTS), None)
+    for reason, marks in REASON_MARKS.items():
+        holds = any_of(text.contains(m) for m in marks)
+        out = out.when(holds | (text == BLANK_WORD) | text.startswith(BLANK_WORD + " ") if reason == "blank" else holds, reason)
+    return out
 
 
 @F.pandas_udf(T.StringType())

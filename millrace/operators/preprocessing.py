@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.quantiles import medians, quantiles
+from millrace.functions.scalars import BLANK_WORD, REASON_MARKS, SUBSTANTIVE_STARTS
 from millrace.operators.cleaning import Codes, binary_mapping, cleaned, daily_rate, frequency_flags, hinge, mapped, one_hot, reason_flag, retained, vocabularies
 
 #: Types that a model can use.
@@ -53,14 +54,11 @@ def plain_label(label) -> str:
 def missing_reason(label) -> str | None:
     """As ``functions.scalars.missing_reason``, for one label."""
     text = plain_label(label)
-    if not text or text.startswith(("no missing", "not missing", "included", "has ")):
+    if not text or text.startswith(SUBSTANTIVE_STARTS):
         return None
-    rules = (
-        ("unknown", any(p in text for p in ("don't know", "dont know", "not sure"))),
-        ("refused", "refused" in text),
-        ("blank", "not asked" in text or text == "missing" or text.startswith("missing ")),
-    )
-    return next((reason for reason, holds in rules if holds), None)
+    found = {reason for reason, marks in REASON_MARKS.items() if any(m in text for m in marks)}
+    found |= {"blank"} if f"{text} ".startswith(BLANK_WORD + " ") else set()
+    return next((reason for reason in REASON_MARKS if reason in found), None)
 
 
 def code_map(entry: dict, plan: Plan = Plan()) -> Codes:
