@@ -38,6 +38,8 @@ def normalised(text: Column) -> Column:
 def _bytes(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     """Where each text ends, and the bytes of all; null counts as empty."""
     held = pc.fill_null(column, "").cast(pa.large_string())
+    if not len(held):
+        return np.zeros(1, np.int64), memoryview(b"")
     _, offsets, body = held.buffers()
     return np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1], memoryview(body or b"")
 
