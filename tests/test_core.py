@@ -183,3 +183,18 @@ def test_matrix_files_and_strict_documents(spark, tmp_path):
         reports.dumped({"a": float("nan")})
     with pytest.raises(ValueError):
         reports.loaded('{"a": NaN}')
+
+
+def test_report_cells_at_rounding_edges(spark):
+    from millrace.sources import reports
+
+    columns, up = "k long, n long, mean double", float(np.nextafter(51.0384375, 52))
+    down = float(np.nextafter(51.0384375, 51))
+    report = [(1, 5, up), (2, 5, -1e-10), (3, 5, 51.038438), (4, 6, 1.0), (5, 5, float("inf")), (6, 5, float("nan")), (7, 5, None), (8, 5, 2.0**53)]
+    own = [(1, 5, down), (2, 5, 1e-10), (3, 5, 51.038437), (4, 5, 1.0), (5, 5, 1.0), (6, 5, 1.0), (7, 5, 1.0), (8, 5, 2.0**53 + 8)]
+    found = reports.report_faults(spark.createDataFrame(report, columns), spark.createDataFrame(own, columns), "k")
+    assert found.columns == ["key", "column", "reported", "recomputed"]
+    assert sorted((r.key, r.column, r.reported, r.recomputed) for r in found.collect() if r.reported) == [
+        ("3", "mean", "51.038438", "51.038437"), ("4", "n", "6", "5"), ("5", "mean", "Infinity", "1.0"), ("6", "mean", "NaN", "1.0"),
+    ]
+    assert [(r.key, r.column, r.recomputed) for r in found.where("reported IS NULL").collect()] == [("7", "mean", "1.0")]
