@@ -55,7 +55,8 @@ def encoder(path: str, memo_entries: int = 200_000) -> "PieceEncoder":
 class PieceEncoder:
     """Encodes texts through the tokenizers library, memoising pre-tokens.
 
-    ``memo_entries`` bounds the memo: past it, the memo starts anew.
+    ``memo_entries`` bounds the memo, in which every 64 characters are an entry more:
+    what is past it after a call goes, and the memo starts anew.
     """
 
     def __init__(self, path: str, memo_entries: int = 200_000):
@@ -65,6 +66,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo_entries = memo_entries
         self.known: dict[str, bytes] = {}
+        self.held = 0
         model = json.loads(self.tokenizer.to_str())
         cut = model["pre_tokenizer"] or {}
         self.cuts = (
@@ -107,8 +109,6 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, exactly as the library gives them for the whole."""
-        if len(self.known) > self.memo_entries:
-            self.known.clear()
         known = self.known
         split: list[list[str] | None] = [
             _PIECES(t) if self.cuts and _PLAIN(t) and not any(s in t for s in self.special) else None
@@ -117,5 +117,9 @@ class PieceEncoder:
         new = list(set().union(*(p for p in split if p)).difference(known))
         known.update(self._encode_pieces(new))
         whole = iter(self._encode([t for t, p in zip(texts, split) if p is None]))
-        raw = (next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in split)
+        raw = [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in split]
+        self.held += len(new) + sum(map(len, new)) // 64
+        if self.held > self.memo_entries:
+            known.clear()
+            self.held = 0
         return [np.frombuffer(x, dtype="<u4") for x in raw]

@@ -138,8 +138,8 @@ def write_shards(
     id: str = "doc_id",
     text: str | Column = "text",
     end_id: int | None = 0,
-    batch_bytes: int = 2 << 20,
-    memo_entries: int = 1_000_000,
+    batch_bytes: int = 512 << 10,
+    memo_entries: int = 500_000,
 ) -> list[tuple[str, int, int]]:
     """Encode ``df`` into shards below ``folder``; (path, documents, ids) of each, in order.
 

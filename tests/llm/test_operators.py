@@ -720,3 +720,14 @@ def test_pipeline_stages_keep_the_columns(spark):
         after = stage(spark, before, "/root/testdata/sf0.001")
         assert after.columns == docs.columns and 0 < after.count() <= before.count()
         before = spark.createDataFrame(after.collect(), T.StructType(docs.schema.fields))
+
+
+def test_memo_of_pieces_is_bounded():
+    from millrace.llm.bpe import PieceEncoder
+
+    coder = PieceEncoder(BPE, 1000)
+    few, long = [f"abc{i}x" for i in range(100)], ["y" * 6000 + chr(97 + i) for i in range(20)]
+    for texts in (few, [" ".join(f"w{i:05d}q" for i in range(5000))], few, long, few):
+        assert [x.tolist() for x in coder.encode_many(texts)] == [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(coder.known) <= 1000 and sum(map(len, coder.known)) <= 64_000
+    assert coder.known
