@@ -731,3 +731,25 @@ def test_memo_of_pieces_is_bounded():
         assert [x.tolist() for x in coder.encode_many(texts)] == [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert len(coder.known) <= 1000 and sum(map(len, coder.known)) <= 64_000
     assert coder.known
+
+
+def test_least_score_reads_every_held_out_document(spark, monkeypatch):
+    from millrace.functions import quantiles
+    from millrace.llm import language
+
+    # 1200 held-out documents, of which those of the highest ranks are like no language
+    held = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 4 == 2][:1200]
+    held.sort(key=lambda i: hashlib.md5(f"language|{i}".encode()).hexdigest())
+    words = {"xx": "kato mika toka kimo ", "yy": "zurg grub burz zugr "}
+    odd = held[-60:]
+    rows = [(i, (words["xx" if i % 2 else "yy"] if i not in odd else "δέ ") * 9, "xx" if i % 2 else "yy") for i in held]
+    df = spark.createDataFrame([*rows, (held[0], "12 34!", "xx"), (held[0], None, "xx"), (held[0], "δ", None), (None, "δ", "xx")], "doc_id long, text string, lang string")
+    model = language.ByteGru(["xx", "yy"], hidden=4, others=1)
+    model.weights["out_bias"][2] = 2
+    scores = language.Reader(model).texts([t for _, t, _ in rows]).max(axis=1)
+    want = min(0.5, 0.5 * np.quantile(scores, 0.01))
+    assert language.least_score(df, model) == pytest.approx(want, rel=1e-5)
+    # the same from scores in a distributed order
+    monkeypatch.setattr(language, "quantiles", lambda df, columns, shares, in_memory: quantiles.quantiles(df, columns, shares, 0))
+    assert language.least_score(df, model) == pytest.approx(want, rel=1e-5)
+    assert language.least_score(df.where("lang is null"), model) == 0
