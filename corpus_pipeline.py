@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048 ids."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=1, memo_entries=100_000)
 
 
 STAGES = [

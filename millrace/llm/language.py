@@ -167,7 +167,7 @@ class Reader:
     but for the text itself.
     """
 
-    def __init__(self, model: ByteGru, core: int = 256, context: int = 64, together: int = 1024):
+    def __init__(self, model: ByteGru, core: int = 256, context: int = 64, together: int = 512):
         self.model, self.core, self.context, self.together = model, core, context, together
         h, w = model.hidden, model.weights
         self.gates = {}

@@ -753,3 +753,16 @@ def test_least_score_reads_every_held_out_document(spark, monkeypatch):
     monkeypatch.setattr(language, "quantiles", lambda df, columns, shares, in_memory: quantiles.quantiles(df, columns, shares, 0))
     assert language.least_score(df, model) == pytest.approx(want, rel=1e-5)
     assert language.least_score(df.where("lang is null"), model) == 0
+
+
+def test_reader_needs_bounded_memory():
+    import tracemalloc
+
+    from millrace.llm.language import ByteGru, Reader
+
+    reader, flat = Reader(ByteGru(["a", "b"], others=1)), np.full(1 << 19, 97, np.uint8)
+    tracemalloc.start()
+    reader.documents(flat, np.array([0, len(flat)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45e6
