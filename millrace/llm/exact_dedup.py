@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import settle, shuffle_partitions
+from millrace.llm.common import settle, shuffle_partitions, tidy
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
@@ -117,16 +117,15 @@ def _sorted_by_content(df: DataFrame, keep: str) -> tuple[DataFrame, Splitters]:
             parts = list(map(splitters.place, heads, _ranks(batch.column("doc_id"), keep), batch.column("tie").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int32())], [*batch.schema.names, "part"])
 
-    dealt = df.mapInArrow(place, T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType())]))
+    dealt = df.mapInArrow(tidy(place), T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType())]))
     dealt = dealt.repartitionById(len(splitters.order) + 1, F.col("part")).drop("part", "tie")
     return dealt.withColumn("body", normalised(F.col("text"))).sortWithinPartitions("body", order), splitters
 
 
-def _openings(batch: pa.RecordBatch, last: pa.Scalar | None) -> np.ndarray:
+def _openings(body: pa.Array, last: pa.Scalar | None) -> np.ndarray:
     """Whether each row's body differs from that of the row before it; compared in full."""
-    body = batch.column("body")
-    fresh = np.ones(batch.num_rows, bool)
-    if batch.num_rows:
+    fresh = np.ones(len(body), bool)
+    if len(body):
         fresh[1:] = pc.not_equal(body[1:], body[:-1]).to_numpy(zero_copy_only=False)
         fresh[0] = last is None or body[0] != last
     return fresh
@@ -161,7 +160,7 @@ def exact_groups(df: DataFrame, id: str = "doc_id", text: str = "text", keep: st
             return out
 
         for batch in batches:
-            fresh, names = _openings(batch, last), batch.column("doc_id").to_pylist()
+            fresh, names = _openings(batch.column("body"), last), batch.column("doc_id").to_pylist()
             ends, flat = _bytes(batch.column("body"))
             for i, opens in enumerate(fresh):
                 if opens:
@@ -177,7 +176,7 @@ def exact_groups(df: DataFrame, id: str = "doc_id", text: str = "text", keep: st
         if pending:
             yield flush()
 
-    found = rows.select("doc_id", "body").mapInArrow(find, "doc_id long, text_sha256 string, run_keep long, run_rows long, first boolean, hot int, part int")
+    found = rows.select("doc_id", "body").mapInArrow(tidy(find), "doc_id long, text_sha256 string, run_keep long, run_rows long, first boolean, hot int, part int")
     found = settle(found, "exact-dedup")
     # texts that splitters cut, no more than there are splitters: the first partition has the row that stays
     cut = found.where("first and hot is not null").groupBy("hot").agg(F.min("part").alias("front"), F.min_by("run_keep", "part").alias("all_keep"), F.sum("run_rows").alias("all_rows"))
@@ -208,14 +207,16 @@ def drop_exact_copies(df: DataFrame, id: str = "doc_id", text: str = "text", kee
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            fresh = _openings(batch, last)
-            last = batch.column("body")[-1] if batch.num_rows else last
-            ends, flat = _bytes(batch.column("body"))
+            # folded again here, so that texts come to the worker once
+            body = pc.ascii_lower(pc.fill_null(batch.column("text"), ""))
+            fresh = _openings(body, last)
+            last = body[-1] if batch.num_rows else last
+            ends, flat = _bytes(body)
             hot = [splitters.hot.get(bytes(flat[a:b])) if b - a < splitters.reach and o else None for a, b, o in zip(ends[:-1], ends[1:], fresh)]
             own = [batch.column(f.name) for f in kinds]
             yield pa.RecordBatch.from_arrays([*own, pa.array(hot, pa.int32())], [*[f.name for f in kinds], "hot"]).filter(pa.array(fresh))
 
-    kept = settle(rows.mapInArrow(first, T.StructType([*kinds, T.StructField("hot", T.IntegerType())])), "exact-kept")
+    kept = settle(rows.drop("body").mapInArrow(tidy(first), T.StructType([*kinds, T.StructField("hot", T.IntegerType())])), "exact-kept")
     # of a text that splitters cut, each partition has one row: no more than there are splitters
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     one = kept.where("hot is not null").withColumn("place", F.row_number().over(Window.partitionBy("hot").orderBy(order))).where("place = 1")

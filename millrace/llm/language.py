@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.quantiles import quantiles
-from millrace.llm.common import byte_slices, settle, settled, sweep
+from millrace.llm.common import byte_slices, settle, settled, sweep, tidy
 
 _PAD = 256
 
@@ -307,7 +307,8 @@ def labelled_sample(
     last = {r.label: r.last for r in counts.withColumn("ahead", ahead).where(F.col("ahead") < per_language).groupBy("label").agg(F.max("bucket").alias("last")).collect()}
     if not last:
         return []
-    limits = df.sparkSession.createDataFrame(list(last.items()), "label string, last string")
+    # from Arrow: rows from a list would start Python workers of another kind, which stay
+    limits = df.sparkSession.createDataFrame(pa.table({"label": list(last), "last": list(last.values())}))
     near = rows.join(F.broadcast(limits), "label").where(bucket <= F.col("last"))
     cut = near.select("label", "rank", F.xxhash64("text").alias("tie"), _passages(F.col("text"), most, chars).alias("passages"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("rank", "tie", "passages"))
@@ -385,7 +386,7 @@ def predict(df: DataFrame, model: ByteGru | None, text: str = "text", batch_byte
                 columns = [*part.columns, pa.array(names[pred], pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def identify(df: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", buckets: int = 4, held_out: int = 2, **settings) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import byte_slices, settle, shuffle_partitions
+from millrace.llm.common import byte_slices, settle, shuffle_partitions, tidy
 from millrace.llm.components import components
 from millrace.llm.darts import mix, signatures
 
@@ -132,7 +132,7 @@ def sketch(rows: DataFrame, words: int, bands: int, band_rows: int, weighted: bo
                 )
                 row += n
 
-    return rows.mapInArrow(run, "row long, doc_id long, set_hash binary, shingles binary, signature binary, buckets array<long>")
+    return rows.mapInArrow(tidy(run), "row long, doc_id long, set_hash binary, shingles binary, signature binary, buckets array<long>")
 
 
 # -- links inside groups of bounded size --
@@ -227,7 +227,7 @@ def _linked(rows: DataFrame, keys: list[str], alike: Callable, least: float) ->
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
 
-    return placed.select(*keys, "node", "part", "asks", "payload").mapInArrow(run, "u long, v long")
+    return placed.select(*keys, "node", "part", "asks", "payload").mapInArrow(tidy(run), "u long, v long")
 
 
 def _block(count: Column, size: int, salt: int) -> Column:
@@ -364,7 +364,7 @@ def _alike_pairs(pairs: DataFrame, least: float) -> DataFrame:
                 hit = pa.array((a == b).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("hub")], ["u", "v"]).filter(hit)
 
-    return pairs.select("node", "hub", "signature", "hub_signature").mapInArrow(run, "u long, v long")
+    return pairs.select("node", "hub", "signature", "hub_signature").mapInArrow(tidy(run), "u long, v long")
 
 
 def drop_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import byte_slices
+from millrace.llm.common import byte_slices, tidy
 
 
 class RoomTree:
@@ -175,4 +175,4 @@ def pack(
         if pool:
             yield from flush()
 
-    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in kinds))
+    return rows.mapInArrow(tidy(run), ", ".join(f"{k} long" for k in kinds))

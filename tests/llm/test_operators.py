@@ -766,3 +766,68 @@ def test_reader_needs_bounded_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 45e6
+
+
+def test_components_of_few_edges_write_nothing(spark, monkeypatch):
+    from millrace.llm import components as module
+
+    random = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in random.integers(-300, 300, (330, 2))]
+    edges = spark.createDataFrame([*pairs, pairs[0], pairs[0][::-1]], "u long, v long")
+    parent = {}
+    for a, b in pairs:
+        while parent.setdefault(a, a) != a:
+            a = parent[a]
+        while parent.setdefault(b, b) != b:
+            b = parent[b]
+        parent[max(a, b)] = min(a, b)
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    expected = sorted((x, root(x)) for pair in pairs if pair[0] != pair[1] for x in set(pair))
+    written = []
+    monkeypatch.setattr(module, "settle", lambda df, label, real=module.settle: written.append(label) or real(df, label))
+    assert sorted(map(tuple, module.components(edges).collect())) == sorted(set(expected)) and not written
+    assert sorted(map(tuple, module.components(edges, on_driver=100).collect())) == sorted(set(expected)) and written
+    assert module.components(edges.where("u = v")).collect() == []
+
+
+def test_labelled_sample_starts_no_workers_of_its_own(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from millrace.llm.language import labelled_sample
+
+    rows = spark.createDataFrame([(i, f"some text {i}", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, lang string").localCheckpoint()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: pytest.fail("rows from a list go through Python workers"))
+    found = labelled_sample(rows, "doc_id", "text", "lang", F.lit(True), 3, 2, 128)
+    assert [name for name, _ in found] == ["a"] * 3 + ["b"] * 3
+
+
+def test_workers_give_memory_back():
+    import multiprocessing
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from millrace.llm.common import tidy
+
+    def held():
+        return int(re.search(r"Anonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    def run(batches):
+        kept = [[bytes(600 + i % 50) for i in range(100_000)] for _ in batches]
+        yield held()
+        del kept
+
+    def body(pipe):
+        before = held()
+        used, *_ = [*tidy(run)(iter([pa.record_batch({"x": [1]})]))]
+        pipe.send((before, used, held()))
+
+    ours, theirs = multiprocessing.Pipe()
+    task = multiprocessing.get_context("fork").Process(target=body, args=(theirs,))
+    task.start()
+    before, used, after = ours.recv()
+    task.join()
+    assert used - before > 50 and after - before < 0.3 * (used - before)
