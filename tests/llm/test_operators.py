@@ -831,3 +831,56 @@ def test_workers_give_memory_back():
     before, used, after = ours.recv()
     task.join()
     assert used - before > 50 and after - before < 0.3 * (used - before)
+
+
+def test_new_pieces_go_to_the_library_in_groups():
+    from millrace.llm.bpe import PieceEncoder
+
+    coder = PieceEncoder(BPE)
+    merges, strings = coder.merges, []
+
+    class Counted:
+        def encode_batch_fast(self, batch, **options):
+            strings.extend(x for text in batch for x in text)
+            return merges.encode_batch_fast(batch, **options)
+
+    coder.merges = Counted()
+    words = [f"{a}{b}{c}" for a in ("str", "qu", "Él", "x'", "7") for b in "aeiouyäß" for c in ("nt", "ÿþ", "12", "..", "\n\n", "'ll", "w" * 400)]
+    texts = [" ".join(words), "\n".join(words), "", "  \t\r\n ", "a\0b\1c", "ÿ", " ", "<|endoftext|>x", "мир 世界", *words]
+    want = [x.ids for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [x.tolist() for x in coder.encode_many(texts)] == want
+    # two strings a piece before
+    assert 200 < len(coder.known) and len(strings) <= len(coder.known) / 32 + 1
+
+
+@pytest.mark.parametrize("options", [{}, {"ignore_merges": True}, {"merged": True}])
+def test_models_made_here_match_the_library(tmp_path, options):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from millrace.llm.bpe import _UNUSED, PieceEncoder, _byte_letters
+
+    letters, options = _byte_letters(), dict(options)
+    merges = [("a", "b"), ("ab", "c"), ("b", "c"), ("Ġ", "a")]
+    if options.pop("merged", False):
+        merges += [("a", letters[b]) for b in _UNUSED] + [("c", letters[b]) for b in _UNUSED]
+    vocab = {x: i for i, x in enumerate(dict.fromkeys([*letters, *map("".join, merges), "cab"]))}
+    made = Tokenizer(models.BPE(vocab, merges, **options))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    made.save(path := str(tmp_path / "made.json"))
+    coder = PieceEncoder(path)
+    assert coder.cuts and (coder.mark is not None) == (options == {} and len(merges) == 4)
+    texts = ["abc cab bc", "cab\nab  a", "", "äb abcÿ cabcab", "世 abc"]
+    assert [x.tolist() for x in coder.encode_many(texts)] == [x.ids for x in made.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_memo_of_pieces_after_a_failure():
+    from millrace.llm.bpe import PieceEncoder
+
+    coder = PieceEncoder(BPE)
+    want = coder.tokenizer.encode("some words", add_special_tokens=False).ids
+    coder.merges, merges = None, coder.merges
+    with pytest.raises(AttributeError):
+        coder.encode_many(["some words"])
+    coder.merges = merges
+    assert coder.encode_many(["some words"])[0].tolist() == want
